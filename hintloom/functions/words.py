@@ -22,13 +22,22 @@ def word_text(text: Column) -> Column:
     return F.array_join(words(text), " ")
 
 
-def shingles(word_array: Column, k: int) -> Column:
-    """Distinct 64-bit hashes of the runs of ``k`` words; empty if there are fewer than ``k`` words."""
+def runs(word_array: Column, k: int) -> Column:
+    """64-bit hashes of the runs of ``k`` words, in order; empty if there are fewer than ``k`` words.
+
+    The shifted arrays are zipped, so the words are evaluated a fixed number of times and not once per run.
+    """
     if k < 1:
         raise ValueError("k must be at least 1")
-    starts = F.sequence(F.lit(1), F.size(word_array) - F.lit(k - 1))
-    runs = F.transform(starts, lambda i: F.xxhash64(F.slice(word_array, i, k)))
-    return F.when(F.size(word_array) >= k, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+    size = F.size(word_array)
+    shifted = [word_array if i == 0 else F.slice(word_array, i + 1, size) for i in range(k)]
+    zipped = F.slice(F.arrays_zip(*shifted), 1, size - F.lit(k - 1))
+    return F.when(size >= k, F.transform(zipped, lambda run: F.xxhash64(run))).otherwise(F.array().cast("array<bigint>"))
+
+
+def shingles(word_array: Column, k: int) -> Column:
+    """Distinct 64-bit hashes of the runs of ``k`` words."""
+    return F.array_distinct(runs(word_array, k))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -7,10 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hintloom.functions.words import at_least, shingles, words
+from hintloom.functions.words import at_least, words
 from hintloom.lineage import cut
 from hintloom.operators.graph import connected_components
 
@@ -35,8 +37,38 @@ def _hash_family(n: int) -> tuple[np.ndarray, np.ndarray]:
     return rnd.integers(0, 2**64, n, dtype=np.uint64) | np.uint64(1), rnd.integers(0, 2**64, n, dtype=np.uint64)
 
 
-def signatures(classes: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(rep, keys, sig) of (rep, salt, grams): a key per band and the low bits of all minima as 64-bit words.
+def _hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the blank-separated words of a batch, and where each text's words begin; every different word is hashed once."""
+    split = pc.split_pattern(texts, " ")
+    coded = split.flatten().dictionary_encode()
+    known = np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    return known[coded.indices.to_numpy()], split.offsets.to_numpy() - split.offsets[0].as_py()
+
+
+def _shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of a batch of texts of at least ``k`` words, sorted per text, and their offsets."""
+    hashed, offsets = _hashed_words(texts)
+    total = np.zeros(max(len(hashed) - k + 1, 0), np.uint64)
+    for j in range(k):
+        total = (total ^ hashed[j : len(hashed) - k + 1 + j]) * np.uint64(0x9FB21C651E98DF25)
+        total ^= total >> np.uint64(29)
+    owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    inside = owner[: len(total)] == owner[k - 1 :]
+    owner, total = owner[: len(total)][inside], total[inside]
+    order = np.lexsort((total, owner))
+    owner, total = owner[order], total[order]
+    fresh = np.ones(len(total), bool)
+    fresh[1:] = (owner[1:] != owner[:-1]) | (total[1:] != total[:-1])
+    owner, total = owner[fresh], total[fresh]
+    return total, np.searchsorted(owner, np.arange(len(texts) + 1))
+
+
+def _lists(flat: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.view(np.int64)))
+
+
+def signatures(classes: DataFrame, k: int, bands: int, rows: int, keep_grams: bool) -> DataFrame:
+    """Of (rep, salt, text): (rep, keys), a key per band, or with ``keep_grams`` (rep, sig, grams), the minima's low bits and the shingles.
 
     Runs vectorised over Arrow batches: a hash function is applied to all shingles of a batch at once and reduced per text.
     """
@@ -49,10 +81,7 @@ def signatures(classes: DataFrame, bands: int, rows: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            grams = batch.column("grams")
-            offsets = grams.offsets.to_numpy()
-            values = grams.values.to_numpy(zero_copy_only=False).view(np.uint64)[offsets[0] : offsets[-1]]
-            starts = offsets[:-1] - offsets[0]
+            grams, offsets = _shingle_sets(batch.column("text"), k)
             salt = batch.column("salt").to_numpy(zero_copy_only=False).view(np.uint64)
             keys = np.empty((batch.num_rows, bands), np.uint64)
             bits = np.zeros((batch.num_rows, n_words), np.uint64)
@@ -60,15 +89,18 @@ def signatures(classes: DataFrame, bands: int, rows: int) -> DataFrame:
                 key = salt ^ np.uint64(band * 0x9E3779B97F4A7C15 % 2**64)
                 for row in range(rows):
                     i = band * rows + row
-                    least = np.minimum.reduceat(values * mul[i] + add[i], starts) >> np.uint64(16)
+                    least = np.minimum.reduceat(grams * mul[i] + add[i], offsets[:-1]) >> np.uint64(16)
                     key = (key ^ (least * fold[row])) * np.uint64(0xD6E8FEB86659FD93)
                     key ^= key >> np.uint64(32)
                     bits[:, i // 64] |= ((least >> np.uint64(11)) & np.uint64(1)) << np.uint64(i % 64)
                 keys[:, band] = key
-            flat = lambda m: pa.ListArray.from_arrays(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32), pa.array(m.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), flat(keys), flat(bits)], ["rep", "keys", "sig"])
+            flat = lambda m: _lists(m.reshape(-1), np.arange(0, m.size + 1, m.shape[1]))
+            if keep_grams:
+                yield pa.RecordBatch.from_arrays([batch.column("rep"), flat(bits), _lists(grams, offsets)], ["rep", "sig", "grams"])
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column("rep"), flat(keys)], ["rep", "keys"])
 
-    return classes.select("rep", "salt", "grams").mapInArrow(run, "rep bigint, keys array<bigint>, sig array<bigint>")
+    return classes.select("rep", "salt", "text").mapInArrow(run, "rep bigint, sig array<bigint>, grams array<bigint>" if keep_grams else "rep bigint, keys array<bigint>")
 
 
 def _bucket_pairs(members: DataFrame) -> DataFrame:
@@ -113,19 +145,19 @@ def near_duplicates(
     salt = F.xxhash64(F.coalesce(F.col(within).cast("string"), F.lit(""))) if within else F.lit(0).cast("bigint")
     base = df.select(F.col(id_col).cast("bigint").alias("id"), salt.alias("salt"), words(F.coalesce(F.col(text_col), F.lit(""))).alias("w")).where("id is not null")
     base = base.select("id", "salt", F.size("w").alias("n"), F.array_join("w", " ").alias("text"))
-    base = base.withColumn("digest", F.unhex(F.md5(F.concat_ws("\n", F.col("salt").cast("string"), "text"))))
-    long = base.where(F.col("n") >= shingle)
-    classes = long.groupBy("digest").agg(F.min("id").alias("rep"), F.first("salt").alias("salt"), F.count("*").alias("copies"), F.first("text").alias("text"))
-    classes = cut(classes.select("digest", "rep", "salt", "copies", shingles(F.split("text", " "), shingle).alias("grams")))
-    signed = signatures(classes, bands, rows)
-    keyed = signed.select("rep", F.explode("keys").alias("key"))
+    same = F.concat_ws("\n", F.col("salt").cast("string"), "text")
+    alone = F.concat_ws("\n", F.lit("short"), F.col("id").cast("string"))
+    base = base.withColumn("digest", F.unhex(F.md5(F.when(F.col("n") >= shingle, same).otherwise(alone))))
+    classes = base.where(F.col("n") >= shingle).groupBy("digest").agg(F.min("id").alias("rep"), F.first("salt").alias("salt"), F.count("*").alias("copies"), F.first("text").alias("text"))
+    classes = cut(classes)
+    keyed = signatures(classes, shingle, bands, rows, keep_grams=False).select("rep", F.explode("keys").alias("key"))
     n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = keyed.repartition(n_parts, "key")
     recurring = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("lo")).where("n > 1")
     members = cut(keyed.join(recurring, "key"))
     involved = members.select("rep").distinct()
-    known = classes.join(involved, "rep", "left_semi").select("rep", "salt", "grams")
-    texts = cut(signatures(known, bands, rows).select("rep", "sig").join(known.select("rep", "grams"), "rep"))
+    known = classes.join(involved, "rep", "left_semi")
+    texts = cut(signatures(known, shingle, bands, rows, keep_grams=True))
     links = cut(_verified(_bucket_pairs(members), texts, threshold, bands * rows))
     large = members.where(f"n > {PAIRWISE}")
     apart = large.where("rep <> lo").join(links.select(F.col("a").alias("lo"), F.col("b").alias("rep")), ["lo", "rep"], "left_anti")
@@ -134,9 +166,8 @@ def near_duplicates(
     links = links.union(_verified(rest, texts, threshold, bands * rows))
     groups = connected_components(links)
     labelled = classes.select("digest", "rep", "copies").join(groups, F.col("rep") == F.col("node"), "left").select("digest", "rep", "copies", F.coalesce("component", "rep").alias("cluster"))
-    of_long = long.select("id", "digest").join(labelled, "digest").select("id", F.col("rep").alias("text_class"), "cluster", "copies")
-    of_short = base.where(F.col("n") < shingle).select("id", F.col("id").alias("text_class"), F.col("id").alias("cluster"), F.lit(1).cast("bigint").alias("copies"))
-    return of_long.union(of_short)
+    of_class = F.coalesce("rep", "id").alias("text_class"), F.coalesce("cluster", "id").alias("cluster"), F.coalesce("copies", F.lit(1).cast("bigint")).alias("copies")
+    return base.select("id", "digest").join(labelled, "digest", "left").select("id", *of_class)
 
 
 def cluster_pairs(groups: DataFrame) -> DataFrame:

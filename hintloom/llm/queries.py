@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hintloom.llm import minhash
+from hintloom.llm import minhash, splitjoin
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,14 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(name.alias("table_name"), F.expr("id div 2").alias("line_no"), F.expr("text_class div 2").alias("text_class"), F.expr("cluster div 2").alias("cluster"), "copies")
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups}
+def _overlaps(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return splitjoin.split_overlaps(_table(spark, sf_dir, "joined_sample"), "line_no", "unique_key", "question", "split_name")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitjoin.overlap_pairs(_overlaps(spark, sf_dir)).select(F.col("a").alias("line_a"), F.col("b").alias("line_b"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found}
 
 SQL: dict[str, str] = {}

@@ -7,12 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hintloom.functions.words import at_least, words
+from hintloom.llm.grams import as_lists, shingle_sets
 from hintloom.lineage import cut
 from hintloom.operators.graph import connected_components
 
@@ -37,36 +36,6 @@ def _hash_family(n: int) -> tuple[np.ndarray, np.ndarray]:
     return rnd.integers(0, 2**64, n, dtype=np.uint64) | np.uint64(1), rnd.integers(0, 2**64, n, dtype=np.uint64)
 
 
-def _hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the blank-separated words of a batch, and where each text's words begin; every different word is hashed once."""
-    split = pc.split_pattern(texts, " ")
-    coded = split.flatten().dictionary_encode()
-    known = np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    return known[coded.indices.to_numpy()], split.offsets.to_numpy() - split.offsets[0].as_py()
-
-
-def _shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of a batch of texts of at least ``k`` words, sorted per text, and their offsets."""
-    hashed, offsets = _hashed_words(texts)
-    total = np.zeros(max(len(hashed) - k + 1, 0), np.uint64)
-    for j in range(k):
-        total = (total ^ hashed[j : len(hashed) - k + 1 + j]) * np.uint64(0x9FB21C651E98DF25)
-        total ^= total >> np.uint64(29)
-    owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    inside = owner[: len(total)] == owner[k - 1 :]
-    owner, total = owner[: len(total)][inside], total[inside]
-    order = np.lexsort((total, owner))
-    owner, total = owner[order], total[order]
-    fresh = np.ones(len(total), bool)
-    fresh[1:] = (owner[1:] != owner[:-1]) | (total[1:] != total[:-1])
-    owner, total = owner[fresh], total[fresh]
-    return total, np.searchsorted(owner, np.arange(len(texts) + 1))
-
-
-def _lists(flat: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.view(np.int64)))
-
-
 def signatures(classes: DataFrame, k: int, bands: int, rows: int, keep_grams: bool) -> DataFrame:
     """Of (rep, salt, text): (rep, keys), a key per band, or with ``keep_grams`` (rep, sig, grams), the minima's low bits and the shingles.
 
@@ -81,7 +50,7 @@ def signatures(classes: DataFrame, k: int, bands: int, rows: int, keep_grams: bo
         for batch in batches:
             if not batch.num_rows:
                 continue
-            grams, offsets = _shingle_sets(batch.column("text"), k)
+            grams, offsets = shingle_sets(batch.column("text"), k)
             salt = batch.column("salt").to_numpy(zero_copy_only=False).view(np.uint64)
             keys = np.empty((batch.num_rows, bands), np.uint64)
             bits = np.zeros((batch.num_rows, n_words), np.uint64)
@@ -94,9 +63,9 @@ def signatures(classes: DataFrame, k: int, bands: int, rows: int, keep_grams: bo
                     key ^= key >> np.uint64(32)
                     bits[:, i // 64] |= ((least >> np.uint64(11)) & np.uint64(1)) << np.uint64(i % 64)
                 keys[:, band] = key
-            flat = lambda m: _lists(m.reshape(-1), np.arange(0, m.size + 1, m.shape[1]))
+            flat = lambda m: as_lists(m.reshape(-1), np.arange(0, m.size + 1, m.shape[1]))
             if keep_grams:
-                yield pa.RecordBatch.from_arrays([batch.column("rep"), flat(bits), _lists(grams, offsets)], ["rep", "sig", "grams"])
+                yield pa.RecordBatch.from_arrays([batch.column("rep"), flat(bits), as_lists(grams, offsets)], ["rep", "sig", "grams"])
             else:
                 yield pa.RecordBatch.from_arrays([batch.column("rep"), flat(keys)], ["rep", "keys"])
 

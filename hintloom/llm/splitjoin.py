@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from hintloom.functions.words import at_least, runs, shingles, words
+from hintloom.functions.words import at_least, shingles, words
+from hintloom.llm.grams import as_lists, shingle_sets
 from hintloom.lineage import cut
 
 #: Shingle length in words; the similarity that the bounds below are derived for.
 SHINGLE = 3
-#: Words of a segment of a text of at least ``4 * SEGMENT`` words, and of a shorter one.
-SEGMENT, SHORT_SEGMENT = 4, 3
+#: Share of the training texts from which a run of words counts as common, and how many such runs are kept at most: 1 MB.
+COMMON, MOST_COMMON = 0.002, 50_000
 #: Largest number of edits that the banded comparison follows; beyond it the shingle sets decide.
 MOST_EDITS = 48
 
@@ -25,59 +29,89 @@ def origin_key(key: Column) -> Column:
     return F.when(whole, F.concat_ws("/", F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), index))
 
 
-def _coded(word_array: Column) -> Column:
+def _coded(text: Column) -> Column:
     """The words as a string of one character each, so that edits of characters are edits of words; a code can stand for several words."""
-    code = F.transform(word_array, lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(0xC000)) + F.lit(0x1000)), 4, "0"))
+    code = F.transform(F.split(text, " "), lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(0xC000)) + F.lit(0x1000)), 4, "0"))
     return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
 
 
-def _segments(texts: DataFrame) -> DataFrame:
-    """(cid, need, seg): hashes of the disjoint segments of each text, and how many of them suffice.
+def common_runs(texts: DataFrame, share: float = COMMON) -> dict[int, int]:
+    """Hashes of the runs of words in at least about ``share`` of the texts, with how often they were counted.
 
-    Of the m shingles of a text, a pair of similarity 0.5 satisfies m >= sum(2 * lost + foreign) over its edits. Per segment of three or
-    four words that it breaks, a substituted word costs 9, an inserted one 7, a border of a moved part 6 and two deleted words, which
-    may break two segments, 10; a first or last word costs 2. At most (m + 6) / 5 segments can therefore break, and any more than that
-    hold one that both texts have. The rarest in the training split are taken, which leaves out hot phrases without losing a pair.
+    Every text is counted; a batch passes on what is common in it, so at most ``2 / share`` times the runs of a text reach the driver
+    from a batch before the sums, and as many again after. The join is exact whatever this finds: it only sets the order of the runs.
     """
-    every = lambda n: F.filter(runs(F.col("w"), n), lambda x, i: i % n == 0)
-    cuts = F.when(F.size("w") >= 4 * SEGMENT, every(SEGMENT)).otherwise(every(SHORT_SEGMENT))
-    return texts.select("cid", (F.floor((F.size("grams") + 6) / 5) + 1).cast("int").alias("need"), F.explode(F.array_distinct(cuts)).alias("seg"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams, counts = np.unique(shingle_sets(batch.column("text"), SHINGLE)[0], return_counts=True) if batch.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            kept = counts >= max(2, batch.num_rows * share / 2)
+            yield pa.RecordBatch.from_arrays([pa.array(grams[kept].view(np.int64)), pa.array(counts[kept])], ["gram", "n"])
+
+    total = texts.count()
+    sums = texts.select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, total * share))
+    return {r.gram % 2**64: r.n for r in sums.orderBy(F.desc("n")).limit(MOST_COMMON).collect()}
 
 
-def _substrings(texts: DataFrame) -> DataFrame:
-    """(cid, seg): hashes of all runs of a segment's length, of either length; the two lengths never share a hash but by chance."""
-    return texts.select("cid", F.explode(F.array_distinct(F.concat(runs(F.col("w"), SEGMENT), runs(F.col("w"), SHORT_SEGMENT)))).alias("seg"))
+def pieces(texts: DataFrame, threshold: float, common: dict[int, int]) -> DataFrame:
+    """(cid, n, s0, s1, seg) of (cid, text): the pieces of each text that suffice to meet every similar text, its shingles and a sketch of them.
+
+    A text can be cut into pieces of three words in three ways; together these are its n shingles. A text of similarity t shares at least
+    t * n of them, so k = n - ceil(t * n) may be lost to edits and any k + 1 hold a shared one. Both sides take their k + 1 first ones in
+    one order, rare before common, so the first shared piece of a pair is among those of either.
+    """
+    hot = np.array(sorted(common), np.uint64)
+    weight = np.array([common[int(g)] for g in hot], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            grams, offsets = shingle_sets(batch.column("text"), SHINGLE)
+            n = np.diff(offsets)
+            owner = np.repeat(np.arange(batch.num_rows), n)
+            heavy = np.zeros(len(grams), np.int64)
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, grams), len(hot) - 1)
+                heavy = np.where(hot[at] == grams, weight[at], 0)
+            order = np.lexsort((grams, heavy, owner))
+            place = np.arange(len(grams)) - np.repeat(offsets[:-1], n)
+            need = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+            kept = order[place < np.repeat(need, n)]
+            bit = (grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(57)
+            sketch = [np.bitwise_or.reduceat(np.where((bit >> np.uint64(6)) == half, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0)), offsets[:-1]) for half in (0, 1)]
+            segs = as_lists(grams[kept], np.concatenate([[0], np.cumsum(np.minimum(need, n))]))
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(n.astype(np.int32)), *[pa.array(x.view(np.int64)) for x in sketch], segs], ["cid", "n", "s0", "s1", "segs"])
+
+    made = texts.select("cid", "text").mapInArrow(run, "cid bigint, n int, s0 bigint, s1 bigint, segs array<bigint>")
+    return made.select("cid", "n", "s0", "s1", F.explode("segs").alias("seg"))
 
 
 def similar_across(left: DataFrame, right: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Pairs (left_id, right_id, edits) of texts of two sets of (cid, text) whose shingle similarity is at least ``threshold`` (≥ 0.5).
+    """Pairs (left_id, right_id, edits) of texts of two sets of (cid bigint, text) whose shingle similarity is at least ``threshold``.
 
     ``cid`` must be unique in each set and ``text`` words joined by blanks; texts of fewer than three words are similar to nothing. The
-    left texts (evaluation) are cut into segments; the right ones (training) are matched by all their runs of that length. Moved
-    sentences keep the similarity, so every position is allowed; what position can't decide, the verification does: banded dynamic
-    programming over words counts the edits, which up to a ninth of the shingles prove the similarity, and the shingle sets decide the
-    other candidates exactly. ``edits`` is -1 where it exceeds the band.
+    left texts (evaluation) are cut into pieces, the right ones (training) are matched by their substrings of that length, see
+    ``pieces``. Since moved sentences keep the similarity, every position is allowed. A sketch of 128 bits bounds what a matched pair can
+    share and drops most chance matches inside the join. Banded dynamic programming over words counts the edits of the rest: up to a
+    ninth of the shingles they prove a similarity of 0.5, beyond that the shingle sets decide exactly. ``edits`` is -1 outside the band.
     """
-    if threshold < 0.5:
-        raise ValueError("the segment bound holds for similarities of at least 0.5")
-    prepared = [df.select("cid", F.split("text", " ").alias("w")).where(F.size("w") >= SHINGLE).select("cid", "w", shingles(F.col("w"), SHINGLE).alias("grams")) for df in (left, right)]
-    l, r = cut(prepared[0]), cut(prepared[1])
-    segments = _segments(l)
-    wanted = segments.select("seg").distinct()
-    hits = cut(_substrings(r).join(wanted, "seg", "left_semi"))
-    common = hits.groupBy("seg").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("cid").orderBy(F.coalesce("n", F.lit(0)), "seg"))
-    probes = segments.join(common, "seg", "left").withColumn("rank", rank).where("rank <= need and n is not null").select(F.col("cid").alias("left_id"), "seg")
-    candidates = probes.join(hits.select("seg", F.col("cid").alias("right_id")), "seg").select("left_id", "right_id").distinct()
-    a = l.select(F.col("cid").alias("left_id"), F.col("grams").alias("ga"), _coded(F.col("w")).alias("ca"))
-    b = r.select(F.col("cid").alias("right_id"), F.col("grams").alias("gb"), _coded(F.col("w")).alias("cb"))
-    both = candidates.join(a, "left_id").join(b, "right_id")
-    reach = F.floor(F.greatest(F.size("ga"), F.size("gb")) / 9)
-    edits = F.expr(f"levenshtein(ca, cb, {MOST_EDITS})")
-    sure = (F.col("edits") >= 0) & (F.col("edits") <= F.least(F.size("ga"), F.size("gb")) / 9) & (F.lit(threshold) <= 0.5)
-    close = both.where(F.least(F.size("ga"), F.size("gb")) >= F.greatest(F.size("ga"), F.size("gb")) * threshold)
-    near = F.abs(F.length("ca") - F.length("cb")) <= reach
-    return close.withColumn("edits", F.when(near, edits).otherwise(F.lit(-1))).where(sure | at_least(F.col("ga"), F.col("gb"), threshold)).select("left_id", "right_id", "edits")
+    left, right = (df.select("cid", "text").where(F.size(F.split("text", " ")) >= SHINGLE) for df in (left, right))
+    common = common_runs(right)
+    l = pieces(left, threshold, common).select(F.col("cid").alias("left_id"), F.col("n").alias("nl"), F.col("s0").alias("l0"), F.col("s1").alias("l1"), "seg")
+    r = pieces(right, threshold, common).select(F.col("cid").alias("right_id"), F.col("n").alias("nr"), F.col("s0").alias("r0"), F.col("s1").alias("r1"), "seg")
+    differ = F.bit_count(F.col("l0").bitwiseXOR(F.col("r0"))) + F.bit_count(F.col("l1").bitwiseXOR(F.col("r1")))
+    total = F.col("nl") + F.col("nr")
+    may = ((total - differ) / 2 >= total * (threshold / (1 + threshold)) - 1e-9) & (F.least("nl", "nr") >= F.greatest("nl", "nr") * threshold)
+    candidates = l.join(r, "seg").where(may).select("left_id", "right_id", "nl", "nr").distinct()
+    texts = [df.select(F.col("cid").alias(i), F.col("text").alias(t)) for df, i, t in ((left, "left_id", "tl"), (right, "right_id", "tr"))]
+    both = candidates.join(texts[0], "left_id").join(texts[1], "right_id")
+    both = both.withColumns({"cl": _coded(F.col("tl")), "cr": _coded(F.col("tr"))})
+    near = F.abs(F.length("cl") - F.length("cr")) <= F.greatest("nl", "nr") / 9
+    both = both.withColumn("edits", F.when(near, F.expr(f"levenshtein(cl, cr, {MOST_EDITS})")).otherwise(F.lit(-1)))
+    sure = (F.col("edits") >= 0) & (F.col("edits") <= F.least("nl", "nr") / 9) & F.lit(threshold <= 0.5)
+    sets = [shingles(F.split(t, " "), SHINGLE) for t in ("tl", "tr")]
+    return both.where(sure | at_least(*sets, threshold)).select("left_id", "right_id", "edits")
 
 
 def split_overlaps(df: DataFrame, id_col: str, key_col: str, text_col: str, split_col: str, train: str = "train", evaluation: tuple[str, ...] = ("holdout", "valid"), threshold: float = 0.5) -> dict[str, DataFrame]:
@@ -91,12 +125,12 @@ def split_overlaps(df: DataFrame, id_col: str, key_col: str, text_col: str, spli
     side = F.when(F.trim(F.lower(F.col(split_col))) == train, "t").when(F.trim(F.lower(F.col(split_col))).isin(*evaluation), "e")
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), side.alias("side"), origin_key(F.col(key_col)).alias("origin"), words(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
     rows = rows.where("id is not null and side is not null").select("id", "side", "origin", F.when(F.size("w") >= SHINGLE, F.array_join("w", " ")).alias("text"))
-    rows = rows.withColumn("text_class", F.when(F.col("text").isNotNull(), F.md5("text")))
-    texts = cut(rows.where("text is not null").groupBy("side", "text_class").agg(F.first("text").alias("text")))
-    of = lambda s: texts.where(F.col("side") == s).select(F.col("text_class").alias("cid"), "text")
+    rows = rows.withColumn("digest", F.unhex(F.md5(F.coalesce("text", F.concat(F.lit("\n"), F.col("id").cast("string"))))))
+    texts = cut(rows.where("text is not null").groupBy("side", "digest").agg(F.min("id").alias("cid"), F.first("text").alias("text")))
+    of = lambda s: texts.where(F.col("side") == s).select("cid", "text")
     pairs = similar_across(of("e"), of("t"), threshold)
     classes = pairs.select(F.col("left_id").alias("eval_class"), F.col("right_id").alias("train_class"), "edits")
-    members = rows.select("id", "side", "text_class", "origin")
+    members = rows.select("id", "side", "digest", "origin").join(texts.select("side", "digest", F.col("cid").alias("text_class")), ["side", "digest"], "left").select("id", "side", "text_class", "origin")
     keyed = members.where("origin is not null").select("side", "origin").distinct()
     origins = keyed.groupBy("origin").agg(F.count("*").alias("n")).where("n = 2").select("origin")
     return {"members": members, "classes": classes, "origins": origins}

@@ -17,6 +17,8 @@ from hintloom.lineage import cut
 SHINGLE = 3
 #: Share of the training texts from which a run of words counts as common, and how many such runs are kept at most: 1 MB.
 COMMON, MOST_COMMON = 0.002, 50_000
+#: 64-bit words of the sketch of a text's shingles.
+SKETCH = 4
 #: Largest number of edits that the banded comparison follows; beyond it the shingle sets decide.
 MOST_EDITS = 48
 
@@ -35,6 +37,10 @@ def _coded(text: Column) -> Column:
     return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
 
 
+def _sketch(side: str) -> list[str]:
+    return [f"{side}{i}" for i in range(SKETCH)]
+
+
 def common_runs(texts: DataFrame, share: float = COMMON) -> dict[int, int]:
     """Hashes of the runs of words in at least about ``share`` of the texts, with how often they were counted.
 
@@ -54,7 +60,7 @@ def common_runs(texts: DataFrame, share: float = COMMON) -> dict[int, int]:
 
 
 def pieces(texts: DataFrame, threshold: float, common: dict[int, int]) -> DataFrame:
-    """(cid, n, s0, s1, seg) of (cid, text): the pieces of each text that suffice to meet every similar text, its shingles and a sketch of them.
+    """(cid, n, s0 … s3, seg) of (cid, text): the pieces of each text that suffice to meet every similar text, its shingles and a sketch of them.
 
     A text can be cut into pieces of three words in three ways; together these are its n shingles. A text of similarity t shares at least
     t * n of them, so k = n - ceil(t * n) may be lost to edits and any k + 1 hold a shared one. Both sides take their k + 1 first ones in
@@ -78,13 +84,13 @@ def pieces(texts: DataFrame, threshold: float, common: dict[int, int]) -> DataFr
             place = np.arange(len(grams)) - np.repeat(offsets[:-1], n)
             need = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
             kept = order[place < np.repeat(need, n)]
-            bit = (grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(57)
-            sketch = [np.bitwise_or.reduceat(np.where((bit >> np.uint64(6)) == half, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0)), offsets[:-1]) for half in (0, 1)]
+            bit = (grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)
+            sketch = [np.bitwise_or.reduceat(np.where((bit >> np.uint64(6)) == part, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0)), offsets[:-1]) for part in range(SKETCH)]
             segs = as_lists(grams[kept], np.concatenate([[0], np.cumsum(np.minimum(need, n))]))
-            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(n.astype(np.int32)), *[pa.array(x.view(np.int64)) for x in sketch], segs], ["cid", "n", "s0", "s1", "segs"])
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(n.astype(np.int32)), *[pa.array(x.view(np.int64)) for x in sketch], segs], ["cid", "n", *_sketch("s"), "segs"])
 
-    made = texts.select("cid", "text").mapInArrow(run, "cid bigint, n int, s0 bigint, s1 bigint, segs array<bigint>")
-    return made.select("cid", "n", "s0", "s1", F.explode("segs").alias("seg"))
+    made = texts.select("cid", "text").mapInArrow(run, f"cid bigint, n int, {', '.join(f'{c} bigint' for c in _sketch('s'))}, segs array<bigint>")
+    return made.select("cid", "n", *_sketch("s"), F.explode("segs").alias("seg"))
 
 
 def similar_across(left: DataFrame, right: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -92,15 +98,14 @@ def similar_across(left: DataFrame, right: DataFrame, threshold: float = 0.5) ->
 
     ``cid`` must be unique in each set and ``text`` words joined by blanks; texts of fewer than three words are similar to nothing. The
     left texts (evaluation) are cut into pieces, the right ones (training) are matched by their substrings of that length, see
-    ``pieces``. Since moved sentences keep the similarity, every position is allowed. A sketch of 128 bits bounds what a matched pair can
+    ``pieces``. Since moved sentences keep the similarity, every position is allowed. A sketch of 256 bits bounds what a matched pair can
     share and drops most chance matches inside the join. Banded dynamic programming over words counts the edits of the rest: up to a
     ninth of the shingles they prove a similarity of 0.5, beyond that the shingle sets decide exactly. ``edits`` is -1 outside the band.
     """
     left, right = (df.select("cid", "text").where(F.size(F.split("text", " ")) >= SHINGLE) for df in (left, right))
     common = common_runs(right)
-    l = pieces(left, threshold, common).select(F.col("cid").alias("left_id"), F.col("n").alias("nl"), F.col("s0").alias("l0"), F.col("s1").alias("l1"), "seg")
-    r = pieces(right, threshold, common).select(F.col("cid").alias("right_id"), F.col("n").alias("nr"), F.col("s0").alias("r0"), F.col("s1").alias("r1"), "seg")
-    differ = F.bit_count(F.col("l0").bitwiseXOR(F.col("r0"))) + F.bit_count(F.col("l1").bitwiseXOR(F.col("r1")))
+    l, r = (pieces(df, threshold, common).select(F.col("cid").alias(f"{side}_id"), F.col("n").alias(f"n{side[0]}"), *[F.col(s).alias(t) for s, t in zip(_sketch("s"), _sketch(side[0]))], "seg") for df, side in ((left, "left"), (right, "right")))
+    differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(_sketch("l"), _sketch("r"))), F.lit(0))
     total = F.col("nl") + F.col("nr")
     may = ((total - differ) / 2 >= total * (threshold / (1 + threshold)) - 1e-9) & (F.least("nl", "nr") >= F.greatest("nl", "nr") * threshold)
     candidates = l.join(r, "seg").where(may).select("left_id", "right_id", "nl", "nr").distinct()

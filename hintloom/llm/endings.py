@@ -52,7 +52,7 @@ def before_mark(text: str | None) -> str:
 def result_value(line: str) -> str | None:
     """The value of a line that holds a result only, perhaps after a label; null for any other line."""
     m = RESULT_LINE.fullmatch(line) if len(line) <= 160 else None
-    if m is None or any(line.count(x) != line.count(y) for x, y in ("()", "[]", "{}")):
+    if m is None or ("**" in line[:2] and line.count("**") % 2) or any(line.count(x) != line.count(y) for x, y in ("()", "[]", "{}")):
         return None
     return next(g for g in m.groups() if g is not None).strip()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hintloom.llm import endings, minhash, splitjoin, truncation
+from hintloom.llm import endings, minhash, pairs, splitjoin, truncation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitjoin.overlap_pairs(_overlaps(spark, sf_dir)).select(F.col("a").alias("line_a"), F.col("b").alias("line_b"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    traces = _table(spark, sf_dir, "sample_source_cot")
+    found = pairs.defective_pairs(traces, "line_no", "question", "model_think", "model_response", "answer", "source_model")
+    return found.withColumnRenamed("id", "line_no")
+
+
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.field_values(_table(spark, sf_dir, "sample_source_cot"), _table(spark, sf_dir, "joined_sample"))
 
@@ -57,6 +63,6 @@ def p3_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return endings.length_limits(_fields(spark, sf_dir).select("field", "source", "text")).withColumnRenamed("field", "field_name")
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_rates": p3_rates, "p3_limits": p3_limits, "p4_found": p4_found}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p3_limits": p3_limits, "p4_found": p4_found}
 
 SQL: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hintloom.llm import endings, minhash, pairs, splitjoin, truncation
+from hintloom.llm import endings, leak, minhash, pairs, splitjoin, truncation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,17 +52,23 @@ def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncation.cut_values(_fields(spark, sf_dir)).select(F.col("field").alias("field_name"), F.col("id").alias("line_no"))
+    found = truncation.cut_values(_fields(spark, sf_dir)).where("reason is not null")
+    return found.select(F.col("field").alias("field_name"), F.col("id").alias("line_no"))
 
 
 def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncation.cut_rates(_fields(spark, sf_dir)).withColumnRenamed("field", "field_name")
+    return truncation.cut_rates(truncation.cut_values(_fields(spark, sf_dir))).withColumnRenamed("field", "field_name")
 
 
 def p3_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return endings.length_limits(_fields(spark, sf_dir).select("field", "source", "text")).withColumnRenamed("field", "field_name")
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p3_limits": p3_limits, "p4_found": p4_found}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leak.leaked(_table(spark, sf_dir, "documents"), "doc_id", "text", _table(spark, sf_dir, "sample_benchmark"), "question_id", "question")
+    return found.withColumnRenamed("item_id", "question_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p3_limits": p3_limits, "p4_found": p4_found, "p6_found": p6_found}
 
 SQL: dict[str, str] = {}

@@ -30,7 +30,8 @@ def trace_cut(text: str | None, think: str | None, response: str | None, answer:
     """How a trace of thinking and response is cut; null if it is whole or a shell.
 
     ``layout``: it is a proper beginning of what its own thinking and response give, or the thinking isn't followed by a response.
-    A trace whose thinking lacks its end but whose response is there counts as whole.
+    A trace whose thinking lacks its end but whose response is there counts as whole. ``open``: it ends well, but its own thinking and
+    response don't prove it whole; only its length can tell.
     """
     if is_shell(text):
         return None
@@ -47,7 +48,7 @@ def trace_cut(text: str | None, think: str | None, response: str | None, answer:
     _, closed, tail = base.rpartition(THINK_CLOSE)
     if opened and not stripped(tail if closed else ""):
         return "layout"
-    return ending(tail if closed else base, answer)
+    return ending(tail if closed else base, answer) or (None if base == built else "open")
 
 
 def _column(fn: Callable, *columns: Column) -> Column:
@@ -65,17 +66,15 @@ def at_limit(values: DataFrame, limits: DataFrame) -> DataFrame:
     return joined.withColumn("limit", F.try_element_at(hit, F.lit(1))["encoding"]).drop("f", "s", "known", "lengths")
 
 
-def cut_values(values: DataFrame, plain_fields: tuple[str, ...] = ()) -> DataFrame:
-    """(field, id, source, reason) of (field, id, source, text, reason): the values that are cut.
+def cut_values(values: DataFrame) -> DataFrame:
+    """``values`` (field, id, source, text, reason) with the reasons settled, null for whole values.
 
-    ``reason`` comes from the layout and the ending. Where a field has no layout that could prove a value whole (``plain_fields``), a
-    value that ends with a sentence but is exactly as long as its source's limit is cut too, with the reason ``limit``.
+    Lengths in all encodings are counted per field and source to find hidden limits. An ``open`` value, which ends well without a layout
+    that proves it whole, is cut with the reason ``limit`` if it is exactly as long as its source's limit, and whole otherwise.
     """
-    if not plain_fields:
-        return values.where("reason is not null").select("field", "id", "source", "reason")
-    marked = at_limit(values, length_limits(values.where(F.col("field").isin(*plain_fields))))
-    reason = F.coalesce("reason", F.when(F.col("limit").isNotNull() & F.col("field").isin(*plain_fields) & ~blank_or_shell(F.col("text")), "limit"))
-    return marked.withColumn("reason", reason).where("reason is not null").select("field", "id", "source", "reason")
+    marked = at_limit(values, length_limits(values.select("field", "source", "text")))
+    reason = F.when(F.col("reason") != "open", F.col("reason")).when((F.col("reason") == "open") & F.col("limit").isNotNull(), "limit")
+    return marked.withColumn("reason", reason).select("field", "id", "source", "text", "reason")
 
 
 def trace_values(df: DataFrame) -> DataFrame:

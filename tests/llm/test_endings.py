@@ -51,6 +51,7 @@ def test_trace():
     assert truncation.trace_cut(f"<think>\n{think}\n{said}", think, said, "5") is None
     assert truncation.trace_cut(said, None, said, "5") is None
     assert truncation.trace_cut(think, think, " ", "5") is None
+    assert truncation.trace_cut(think, None, said, "5") == "open"
     assert truncation.trace_cut(f"<think>\n{think}\n</think>\nNone", think, "None", "5") is None
     assert truncation.trace_cut(None, None, None, None) is None
 
@@ -71,13 +72,14 @@ def test_limits_and_rates(spark):
     got = {(r.source, r.encoding, r.limit, r.n) for r in endings.length_limits(df).collect()}
     assert ("a", "characters", 300, 20) in got and ("a", "utf8 bytes", 400, 20) in got
     assert all(s == "a" for s, *_ in got)
-    values = df.withColumn("reason", df.text.substr(1, 0))
-    values = values.selectExpr("field", "id", "source", "text", "cast(null as string) reason")
-    cut = truncation.cut_values(values, plain_fields=("f",)).collect()
+    values = df.selectExpr("field", "id", "source", "text", "'open' reason")
+    cut = truncation.cut_values(values).where("reason is not null").collect()
     assert len(cut) == 20 and {r.reason for r in cut} == {"limit"}
+    values = df.selectExpr("field", "id", "source", "text", "cast(null as string) reason")
+    assert truncation.cut_values(values).where("reason is not null").collect() == []
     rates = {r.source: (r.n_values, r.n_cut, r.rate) for r in truncation.cut_rates(values).collect()}
     assert rates["a"] == (320, 0, 0.0) and rates[None] == (0, 0, None) and rates["b"] == (0, 0, None)
-    assert truncation.cut_values(values.limit(0), plain_fields=("f",)).collect() == []
+    assert truncation.cut_values(values.limit(0)).collect() == []
 
 
 def test_field_values(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hintloom.llm import endings, leak, minhash, pairs, splitjoin, truncation
+from hintloom.llm import endings, leak, minhash, pairs, quality, splitjoin, truncation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,21 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("item_id", "question_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p3_limits": p3_limits, "p4_found": p4_found, "p6_found": p6_found}
+def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _table(spark, sf_dir, "common_words").where("word is not null").select("word").distinct()
+    if words.count() > 100_000:
+        raise ValueError("the list of common words is meant to be short")
+    return quality.text_kinds(_table(spark, sf_dir, "documents"), "doc_id", "text", frozenset(r.word for r in words.collect()))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kinds(spark, sf_dir).where("kind <> 'prose'").select(F.col("id").alias("doc_id"), "kind")
+
+
+def p7_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kinds(spark, sf_dir).withColumnRenamed("id", "doc_id").drop("votes")
+
+
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p3_limits": p3_limits, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p7_statistics": p7_statistics}
 
 SQL: dict[str, str] = {}

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hintloom.llm import endings, leak, minhash, pairs, quality, splitjoin, truncation
+from hintloom.llm import endings, leak, minhash, packing, pairs, quality, splitjoin, truncation
+
+
+#: Folder of the public vocabulary files.
+TOKENIZERS = "/opt/tokenizers"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +68,16 @@ def p3_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return endings.length_limits(_fields(spark, sf_dir).select("field", "source", "text")).withColumnRenamed("field", "field_name")
 
 
+def p5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, containers = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "containers")
+    packed = packing.pack_documents(documents, "doc_id", "text", containers, "container_kind", "capacity_tokens", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    return packed.withColumnRenamed("id", "doc_id")
+
+
+def p5_fill_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_rates(p5_packing(spark, sf_dir))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leak.leaked(_table(spark, sf_dir, "documents"), "doc_id", "text", _table(spark, sf_dir, "sample_benchmark"), "question_id", "question")
     return found.withColumnRenamed("item_id", "question_id")
@@ -84,6 +98,6 @@ def p7_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kinds(spark, sf_dir).withColumnRenamed("id", "doc_id").drop("votes")
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p3_limits": p3_limits, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p7_statistics": p7_statistics}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p3_limits": p3_limits, "p4_found": p4_found, "p5_packing": p5_packing, "p5_fill_rates": p5_fill_rates, "p6_found": p6_found, "p7_found": p7_found, "p7_statistics": p7_statistics}
 
 SQL: dict[str, str] = {}

@@ -1 +1,5 @@
-"""The engine's own queries."""
+"""The engine's own queries: importing this module registers them all."""
+
+from hintloom.plans import retrieval_queries
+
+__all__ = ["retrieval_queries"]

@@ -143,17 +143,17 @@ def failure_mix(spark, sf_dir):
 @query(
     "threshold_dynamic_k",
     f"""WITH {DENSE.format(where='WHERE vec <> query', k=5)}, m AS (SELECT query, max(score) AS max_sim FROM near GROUP BY query)
-    SELECT query, max_sim, max_sim < 0.5 AS skipped, CASE WHEN max_sim < 0.5 THEN 0 WHEN max_sim >= 0.85 THEN 5 WHEN max_sim >= 0.7 THEN 4 WHEN max_sim >= 0.6 THEN 3 ELSE 2 END AS effective_k FROM m""",
+    SELECT query, max_sim, max_sim < 0.4 AS skipped, CASE WHEN max_sim < 0.4 THEN 0 WHEN max_sim >= 0.85 THEN 5 WHEN max_sim >= 0.7 THEN 4 WHEN max_sim >= 0.6 THEN 3 ELSE 2 END AS effective_k FROM m""",
 )
 def threshold_dynamic_k(spark, sf_dir):
     nearest = _dense(spark, sf_dir, 6).where("vec <> query").groupBy("query").agg(F.max("score").alias("max_sim"))
-    return fusion.gated(nearest, "max_sim", 5).drop("skip_reason")
+    return fusion.gated(nearest, "max_sim", 5, 0.4).drop("skip_reason")
 
 
 @query(
     "gated_retrieve",
     f"""WITH {DENSE.format(where='WHERE vec <> query', k=5)}, m AS (SELECT *, max(score) OVER (PARTITION BY query) AS max_sim FROM near)
-    SELECT query, vec, score, rank FROM m WHERE max_sim >= 0.5 AND rank <= CASE WHEN max_sim >= 0.85 THEN 5 WHEN max_sim >= 0.7 THEN 4 WHEN max_sim >= 0.6 THEN 3 ELSE 2 END""",
+    SELECT query, vec, score, rank FROM m WHERE max_sim >= 0.4 AND rank <= CASE WHEN max_sim >= 0.85 THEN 5 WHEN max_sim >= 0.7 THEN 4 WHEN max_sim >= 0.6 THEN 3 ELSE 2 END""",
 )
 def gated_retrieve(spark, sf_dir):
     from pyspark.sql.window import Window
@@ -161,7 +161,7 @@ def gated_retrieve(spark, sf_dir):
     near = _dense(spark, sf_dir, 6).where("vec <> query")
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("rank"))).where("rank <= 5")
     near = near.withColumn("max_sim", F.max("score").over(Window.partitionBy("query")))
-    return fusion.gated(near, "max_sim", 5).where("rank <= effective_k").select("query", "vec", "score", "rank")
+    return fusion.gated(near, "max_sim", 5, 0.4).where("rank <= effective_k").select("query", "vec", "score", "rank")
 
 
 @query(

@@ -221,3 +221,39 @@ def progress_windows(spark, sf_dir):
     from hintloom.streaming.monitor import run_once
 
     return run_once(spark, sf_dir)
+
+
+@query("judge_demo")
+def judge_demo(spark, sf_dir):
+    """Runs three constant, trusted programs on numbers of the question ids: one right, one wrong, one failing."""
+    from hintloom.operators.judging import judge
+
+    items = table(spark, sf_dir, "sample_benchmark").select("question_id", (F.col("line_no") % 7).cast("string").alias("n"))
+    code = F.when(F.col("n") == "0", "raise ValueError").when(F.col("n") == "1", "print(int(input()))").otherwise("print(int(input()) + 1)")
+    cases = F.array(F.struct(F.col("n").alias("input"), (F.col("n").cast("int") + 1).cast("string").alias("output")))
+    asked = items.groupBy("n").agg(F.min("question_id").alias("unique_key")).select("unique_key", F.concat(F.lit("```python\n"), code, F.lit("\n```")).alias("output"), cases.alias("cases"))
+    return judge(asked).select("unique_key", "status", "lang", "passed", "total_tests")
+
+
+@query("card_recovery", "SELECT line_no, CASE WHEN regexp_replace(coalesce(heuristic, ''), '\\s+', '', 'g') = '' THEN 'card_0_do_empty_after_coerce' END AS error FROM sample_skill_cards")
+def card_recovery(spark, sf_dir):
+    from hintloom.operators.recovery import recovered_cards
+
+    field = lambda c: F.coalesce(F.col(c), F.lit(""))
+    raw = F.concat(F.lit("Cards:\n"), F.to_json(F.array(F.struct(F.lit("success").alias("type"), F.lit("t").alias("trigger"), F.lit("g").alias("tags"), field("heuristic").alias("do"), F.lit("a").alias("avoid"), F.lit("c").alias("check")))))
+    rows = table(spark, sf_dir, "sample_skill_cards").select("line_no", recovered_cards(raw).alias("r"))
+    # The tolerant rules keep a card without things to do; its error is what the strict ones would say.
+    return rows.select("line_no", F.when(F.size(F.col("r.cards")[0]["do"]) == 0, "card_0_do_empty_after_coerce").alias("error"))
+
+
+@query("mock_pipeline", """SELECT mode, 3 * count(*) AS runs, 3 * sum(CASE WHEN mode = 'direct' THEN length(question) ELSE length(question) + length(coalesce(hints, '')) END) AS characters
+    FROM (SELECT question, h.hints FROM sample_benchmark b LEFT JOIN (SELECT question_id, string_agg(heuristic, ' ') AS hints FROM sample_skill_cards GROUP BY 1) h USING (question_id)), (VALUES ('direct'), ('hinted')) m(mode) GROUP BY mode""")
+def mock_pipeline(spark, sf_dir):
+    from hintloom.plans.pipeline import generate
+
+    hints = table(spark, sf_dir, "sample_skill_cards").where("heuristic is not null").groupBy("question_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("line_no", "heuristic")))["heuristic"], " ").alias("hints"))
+    items = R.repeated(table(spark, sf_dir, "sample_benchmark").join(hints, "question_id", "left"), 3)
+    items = items.withColumn("mode", F.explode(F.array(F.lit("direct"), F.lit("hinted"))))
+    prompt = T.render(F.lit("{{question}}{{hints}}"), {"question": F.col("question"), "hints": F.when(F.col("mode") == "hinted", F.col("hints"))})
+    made = generate(items.withColumn("prompt", prompt), "prompt").where("generation.status = 'success'")
+    return made.groupBy("mode").agg(F.count("*").alias("runs"), F.sum(F.length("prompt")).alias("characters"))

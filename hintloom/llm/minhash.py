@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,7 @@ from hintloom.llm.grams import as_lists, shingle_sets
 from hintloom.lineage import cut
 from hintloom.operators.graph import connected_components
 
-#: Texts of one band bucket that are compared pairwise; larger buckets are compared with their least member first, see ``_bucket_pairs``.
+#: Texts of one band bucket that are compared pairwise; larger buckets are compared with their least member first, see ``_grouped``.
 PAIRWISE = 48
 
 
@@ -73,12 +73,44 @@ def signatures(classes: DataFrame, k: int, bands: int, rows: int, keep_grams: bo
 
 
 def _bucket_pairs(members: DataFrame) -> DataFrame:
-    """Candidate pairs of (key, n, lo, rep): all pairs of small buckets, for large ones each member with the least one."""
+    """All pairs of the buckets of up to ``PAIRWISE`` members."""
     two = members.where("n = 2 and rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b"))
     some = members.where(f"n between 3 and {PAIRWISE}").groupBy("key").agg(F.collect_list("rep").alias("ids"))
     some = some.select(F.explode(F.expr("flatten(transform(ids, x -> transform(filter(ids, y -> y > x), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b")
-    star = members.where(f"n > {PAIRWISE} and rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b"))
-    return two.union(some).union(star).distinct()
+    return two.union(some).distinct()
+
+
+def _labelled(df: DataFrame, groups: DataFrame, column: str) -> DataFrame:
+    """``df`` with the group of ``column``, itself if it has no links yet, as ``g_<column>``."""
+    known = groups.select(F.col("node").alias(column), F.col("component").alias("_g"))
+    return df.join(known, column, "left").withColumn(f"g_{column}", F.coalesce("_g", column)).drop("_g")
+
+
+def _grouped(members: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, component) of the linked members of (key, n, lo, rep), ``verified`` telling the links among pairs.
+
+    Small buckets give all their pairs. In large ones, where a third of all texts may meet, most members belong to one group, so each is
+    compared with the least member of only one of its buckets at first; then with those of its other buckets that are still in another
+    group; and at last, if it is still apart from a bucket's least member, with all members of that bucket in other groups. A pair of a
+    bucket that is never compared is in one group already.
+    """
+    links = verified(_bucket_pairs(members))
+    large = members.where(f"n > {PAIRWISE}")
+    if large.isEmpty():
+        return connected_components(links)
+    star = large.where("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct()
+    links = links.union(verified(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")))
+    groups = cut(connected_components(links))
+    more = verified(_labelled(_labelled(star, groups, "a"), groups, "b").where("g_a <> g_b").select("a", "b"))
+    if not more.isEmpty():
+        links = links.union(more)
+        groups = cut(connected_components(links))
+    known = _labelled(_labelled(large.where("rep <> lo"), groups, "rep"), groups, "lo")
+    apart = known.where("g_rep <> g_lo").select("key", F.col("rep").alias("x"), F.col("g_rep").alias("g_x"))
+    others = _labelled(large.select("key", F.col("rep").alias("y")), groups, "y")
+    pairs = apart.join(others, "key").where("g_x <> g_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    more = verified(pairs)
+    return groups if more.isEmpty() else connected_components(links.union(more))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, n_hashes: int) -> DataFrame:
@@ -102,8 +134,7 @@ def near_duplicates(
     Method: equal texts become one class before anything else, so a text that fills a third of the rows counts once. Classes get a
     signature of ``bands`` × ``rows`` universal-hash minima (by default from ``banding``); classes sharing a band are candidates; their
     signatures and then their exact shingle sets are compared; links become groups by large-star and small-star. Buckets of more than
-    ``PAIRWISE`` different texts are first compared with one member; whoever isn't linked to it is compared with the whole bucket, so
-    no link that could join two groups is lost.
+    ``PAIRWISE`` different texts are compared by way of their least members, see ``_grouped``, without losing a link between groups.
 
     Null, blank and short texts (fewer than ``shingle`` words) are similar to nothing: class and cluster are their own id. Rows with a
     null id are left out, since no result could name them. Ids must be unique. Empty tables give an empty result; other columns of
@@ -127,13 +158,7 @@ def near_duplicates(
     involved = members.select("rep").distinct()
     known = classes.join(involved, "rep", "left_semi")
     texts = cut(signatures(known, shingle, bands, rows, keep_grams=True))
-    links = cut(_verified(_bucket_pairs(members), texts, threshold, bands * rows))
-    large = members.where(f"n > {PAIRWISE}")
-    apart = large.where("rep <> lo").join(links.select(F.col("a").alias("lo"), F.col("b").alias("rep")), ["lo", "rep"], "left_anti")
-    rest = apart.select("key", F.col("rep").alias("x")).join(large.select("key", F.col("rep").alias("y")), "key").where("x <> y")
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = links.union(_verified(rest, texts, threshold, bands * rows))
-    groups = connected_components(links)
+    groups = _grouped(members, lambda pairs: cut(_verified(pairs, texts, threshold, bands * rows)))
     labelled = classes.select("digest", "rep", "copies").join(groups, F.col("rep") == F.col("node"), "left").select("digest", "rep", "copies", F.coalesce("component", "rep").alias("cluster"))
     of_class = F.coalesce("rep", "id").alias("text_class"), F.coalesce("cluster", "id").alias("cluster"), F.coalesce("copies", F.lit(1).cast("bigint")).alias("copies")
     return base.select("id", "digest").join(labelled, "digest", "left").select("id", *of_class)
@@ -141,7 +166,7 @@ def near_duplicates(
 
 def cluster_pairs(groups: DataFrame) -> DataFrame:
     """All pairs (a, b), a < b, of rows of one cluster: the expanded form, as large as the groups require."""
-    several = groups.select("id", "cluster", "text_class", "copies")
+    several = cut(groups.select("id", "cluster"))
     linked = several.groupBy("cluster").agg(F.count("*").alias("size")).where("size > 1").select("cluster")
     rows = several.join(linked, "cluster", "left_semi")
     return rows.select("cluster", F.col("id").alias("a")).join(rows.select("cluster", F.col("id").alias("b")), "cluster").where("a < b").select("a", "b")

@@ -86,3 +86,14 @@ def test_banding():
     for t in (0.5, 0.8, 0.95):
         bands, rows = minhash.banding(t)
         assert (1 - t**rows) ** bands <= 0.002
+
+
+def test_third_of_rows_in_one_group(spark):
+    """A skewed input: a third of the texts are different variants of one text, another group chains through them."""
+    rnd = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(900)]
+    hot = list(variants(rnd, vocabulary, 60, 250))
+    cold = [" ".join(rnd.choice(vocabulary) for _ in range(40)) for _ in range(500)]
+    rows = list(enumerate(hot + cold))
+    got = run(spark, rows, shingle=3, threshold=0.5)
+    assert {i: r.cluster for i, r in got.items()} == brute(rows, 3, 0.5)

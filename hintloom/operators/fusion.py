@@ -37,14 +37,12 @@ def mmr(candidates: Column, k: int, tokens: str = "tokens", balance: float = 0.7
     """
 
     def step(chosen: Column, _: Column) -> Column:
-        left = F.filter(candidates, lambda c: ~F.exists(chosen, lambda d: d["rank"] == c["rank"]))
-
         def value(c: Column) -> Column:
             near = F.array_max(F.transform(chosen, lambda d: jaccard(c[tokens], d[tokens])))
             return F.round(F.lit(balance) / (c["rank"] + 1) - F.lit(1 - balance) * near, 9)
 
-        best = F.array_max(F.transform(left, lambda c: F.struct(value(c).alias("value"), (-c["rank"]).alias("place"))))
-        return F.concat(chosen, F.filter(left, lambda c: c["rank"] == -best["place"]))
+        left = F.transform(candidates, lambda c, i: F.when(~F.exists(chosen, lambda d: d["rank"] == c["rank"]), F.struct(value(c).alias("value"), (-i).alias("place"))))
+        return F.concat(chosen, F.array(F.element_at(candidates, 1 - F.array_max(left)["place"])))
 
     greedy = F.aggregate(F.sequence(F.lit(1), F.lit(max(k - 1, 1))), F.slice(candidates, 1, 1), step)
     return F.when(F.size(candidates) <= k, candidates).otherwise(F.slice(candidates, 1, 1) if k <= 1 else greedy)

@@ -116,8 +116,9 @@ _MMR = f"""
 
 
 def _candidates(spark, sf_dir) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), similarity_tokens(F.col("text")).alias("tokens"), F.when(F.col("source") == "forum", "success").otherwise("failure").alias("type"))
-    return fusion.candidate_lists(_fused(spark, sf_dir).join(documents, "doc"), "type", "tokens")
+    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text", F.when(F.col("source") == "forum", "success").otherwise("failure").alias("type"))
+    found = _fused(spark, sf_dir).join(documents, "doc").withColumn("tokens", similarity_tokens(F.col("text")))
+    return fusion.candidate_lists(found, "type", "tokens")
 
 
 @query("mmr_select", f"{_LISTS}, {_FUSED}, {_MMR} SELECT query, doc, pick FROM chosen")

@@ -100,4 +100,31 @@ def p7_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p3_limits": p3_limits, "p4_found": p4_found, "p5_packing": p5_packing, "p5_fill_rates": p5_fill_rates, "p6_found": p6_found, "p7_found": p7_found, "p7_statistics": p7_statistics}
 
-SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
+
+
+def _shingles(source: str, text: str, columns: str, k: int) -> str:
+    """Distinct runs of k words of a table's texts, with other columns."""
+    return f"SELECT DISTINCT {columns}, array_to_string(w[i:i + {k - 1}], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - {k - 2})) AS i FROM (SELECT *, {_WORDS.format(text)} AS w FROM {source}))"
+
+
+_P1 = f"""WITH RECURSIVE rows_ AS (SELECT 'sample_problems' AS t, line_no, question AS body FROM sample_problems UNION ALL SELECT 'sample_skill_cards', line_no, heuristic FROM sample_skill_cards),
+    sh AS ({_shingles('rows_', 'body', 't, line_no', 3)}),
+    n AS (SELECT t, line_no, count(*) AS n FROM sh GROUP BY ALL),
+    both_ AS (SELECT a.t, a.line_no AS x, b.line_no AS y, count(*) AS c FROM sh a JOIN sh b ON a.t = b.t AND a.g = b.g AND a.line_no <> b.line_no GROUP BY ALL),
+    links AS (SELECT b.t, x, y FROM both_ b JOIN n p ON p.t = b.t AND p.line_no = x JOIN n q ON q.t = b.t AND q.line_no = y WHERE c >= 0.5 * (p.n + q.n - c) - 1e-9),
+    reach AS (SELECT t, x, y FROM links UNION SELECT r.t, r.x, l.y FROM reach r JOIN links l ON l.t = r.t AND l.x = r.y)
+    SELECT t AS table_name, x AS line_a, y AS line_b FROM reach WHERE x < y"""
+
+_P4 = f"""WITH rows_ AS (SELECT line_no, question, lower(trim(split_name)) = 'train' AS train, string_split(regexp_replace(lower(unique_key), '\\s+', '', 'g'), '/') AS k FROM joined_sample WHERE lower(trim(split_name)) IN ('train', 'holdout', 'valid')),
+    sh AS ({_shingles('rows_', 'question', 'line_no, train', 3)}),
+    n AS (SELECT line_no, count(*) AS n FROM sh GROUP BY 1),
+    both_ AS (SELECT a.line_no AS x, b.line_no AS y, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.train AND NOT b.train GROUP BY ALL),
+    near AS (SELECT x, y FROM both_ JOIN n p ON p.line_no = x JOIN n q ON q.line_no = y WHERE c >= 0.5 * (p.n + q.n - c) - 1e-9),
+    keys AS (SELECT line_no, train, k[1] || '/' || k[2] || '/' || regexp_replace(k[3], '^0+(.)', '\\1') AS o FROM rows_ WHERE len(k) = 3 AND k[1] <> '' AND k[2] <> '' AND k[3] <> ''),
+    same AS (SELECT a.line_no AS x, b.line_no AS y FROM keys a JOIN keys b ON a.o = b.o AND a.train AND NOT b.train)
+    SELECT DISTINCT least(x, y) AS line_a, greatest(x, y) AS line_b FROM (SELECT * FROM near UNION ALL SELECT * FROM same)"""
+
+_P6 = f"SELECT DISTINCT doc_id, question_id FROM ({_shingles('documents', 'text', 'doc_id', 12)}) JOIN ({_shingles('sample_benchmark', 'question', 'question_id', 12)}) USING (g)"
+
+SQL: dict[str, str] = {"p1_found": _P1, "p4_found": _P4, "p6_found": _P6}

@@ -1,5 +1,5 @@
 """The engine's own queries: importing this module registers them all."""
 
-from hintloom.plans import report_queries, retrieval_queries, text_queries
+from hintloom.plans import record_queries, report_queries, retrieval_queries, text_queries
 
-__all__ = ["report_queries", "retrieval_queries", "text_queries"]
+__all__ = ["record_queries", "report_queries", "retrieval_queries", "text_queries"]

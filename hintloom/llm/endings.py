@@ -20,7 +20,7 @@ SHELL = re.compile(
     re.I,
 )
 CLOSING_SIGN = re.compile(r"(?:[∎□■◻◼▪]|\bq\.?\s?e\.?\s?d\.?|[-=*_~#]{3,}|\[\s*(?:end|done|fin|eof)\s*\]|--\s?(?:end|fin|done)|(?:^|\n)\s*(?:end|fin|done|eof)\.?)\Z", re.I)
-SENTENCE_END = re.compile(r"[.!?。！？｡؟][\"'”’»›)\]}*_]*\Z")
+SENTENCE_END = re.compile(r"[.!?。！？｡؟](?:\s*[(\[][^()\[\]]{1,40}[)\]])?[\"'”’»›)\]}*_]*\Z")
 CLOSING_TAG = re.compile(r"</\w+>\Z")
 LABEL = r"(?:[*_#>\s]*[^\W\d_][^\W\d_ ]*(?: [^\W\d_]+){0,3}[*_]*\s?[:=：]\s?)?"
 VALUE = r"(?=.*[\w√π])(?:\d|[-+±*/^().,{}\[\]\\√π%°:<>=|]|\b[A-Za-z]{1,2}\b|sqrt|frac|\bpi\b|\bmod\b| ){0,60}[\w)\]}%°π]"
@@ -77,7 +77,7 @@ def ending(text: str | None, answer: str | None = None) -> str | None:
     value = result_value(line)
     if value is not None:
         return "answer" if answer and value != answer.strip() and answer.strip().startswith(value) else None
-    return None if SENTENCE_END.search(base, max(0, len(base) - 20)) or is_shell(line) else "sentence"
+    return None if SENTENCE_END.search(base, max(0, len(base) - 64)) or is_shell(line) else "sentence"
 
 
 def blank_or_shell(text: Column) -> Column:

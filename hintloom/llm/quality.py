@@ -132,7 +132,7 @@ FUNCTIONS = (
     ("short_lines", 0.6, "list table menu noise", "prose salad"),
     ("entry_lines", 0.55, "list", "prose table noise menu salad"),
     ("cell_lines", 0.6, "table", "prose list noise menu salad"),
-    ("cell_lines", 0.85, "table", ""),
+    ("cell_lines", 0.85, "table", "prose list noise menu salad"),
     ("mixed_words", 0.25, "noise", "prose list table menu salad"),
     ("digit_ratio", 0.15, "table noise", "prose list menu salad"),
     ("symbol_ratio", 0.3, "noise", "prose list menu salad"),

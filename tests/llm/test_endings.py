@@ -5,7 +5,7 @@ from hintloom.llm import endings, truncation
 WHOLE = [
     "The sum is 12.", "Is it so?", "It holds. ∎", "It holds. □", "It holds.\nQED", "Done.\n---", "Done.\n====", "Done.\n[end]", "Done.\n-- fin", "12", "207/8", "7+sqrt(2)",
     "$207/8$", "**156**", "So.\n\\boxed{7+sqrt(10)}", "So.\nFinal answer: 264", "So.\nResult = 165/12", "Donc.\nRéponse : 19", "```python\nprint(1)\n```", "(It holds.)", 'He said "yes."',
-    "计算结果成立。", "It holds.  \n\n", "It holds.​", "<answer>5</answer>",
+    "计算结果成立。", "It holds.  \n\n", "How many? (adapted)", '"How many? [revised]"', "It holds.​", "<answer>5</answer>",
 ]
 CUT = [
     "The sum is", "The sum is 12 and the oth", "We get 12,", "```python\nprint(1)", "x\n```cpp\nint main() {\n``", "So.\nFinal answer:", "So.\n\\boxed{7+sqrt(1", "So.\n**15", "$20", "7+sqrt(",

@@ -98,3 +98,41 @@ def drop_reason(card: dict[str, Column], text: Column, least: int = 20) -> Colum
     """The first rule that keeps a card out of an index, null if none does: its type, an empty trigger, too short a text."""
     kind = F.lower(strip(F.coalesce(card["type"], F.lit(""))))
     return F.when(~kind.isin(*TYPES), "type").when(F.size(clean_list(card["trigger"])) == 0, "trigger_empty").when(F.length(F.coalesce(text, F.lit(""))) < least, "text_too_short")
+
+
+# Per type of a failure card, the label of its triggers in prompts, and per field its label in indexes and its form in prompts.
+TYPED = {
+    "edge_fix": ("EDGE CASE", (("edge_pattern", "EDGE", "{}."), ("fix_hint", "FIX", "Fix: {}."))),
+    "wrong_approach": ("AVOID", (("wrong_approach", "WRONG", "{} fails."), ("correct_direction", "CORRECT", "Try: {}."))),
+}
+
+
+def _formed(form: str, value: Column) -> Column:
+    before, after = form.split("{}")
+    return F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(before), value, F.lit(after)))
+
+
+def typed_index_text(card: dict[str, Column]) -> Column:
+    """``index_text`` with the two fields of a failure card's type after its tags."""
+    head = labelled({"TRIGGER": card["trigger"], "TAGS": card["tags"]}, {"TRIGGER": " | ", "TAGS": " "})
+    own = [F.when(card["type"] == kind, _formed(f"{label}: {{}}", card[field])) for kind, (_, fields) in TYPED.items() for field, label, _ in fields]
+    tail = labelled({"DO": card["do"], "AVOID": card["avoid"], "CHECK": card["check"]}, default=" ; ")
+    return F.concat_ws("\n", F.nullif(head, F.lit("")), *own, F.nullif(tail, F.lit("")))
+
+
+def typed_inject_text(card: dict[str, Column]) -> Column:
+    """The short text for prompts in the form of the card's type; other types name what to do, avoid and check."""
+    kind = F.lower(card["type"])
+    triggers = F.array_join(F.slice(card["trigger"], 1, 2), " | ")
+    out = None
+    for name, (label, fields) in TYPED.items():
+        text = F.concat_ws(" ", _formed(f"{label} if {{}}:", triggers), *[_formed(form, card[field]) for field, _, form in fields])
+        out = F.when(kind == name, text) if out is None else out.when(kind == name, text)
+    plain = [_formed(form, F.array_join(F.slice(card[field], 1, n), "; ")) for field, n, form in (("do", 3, "Do: {}."), ("avoid", 2, "Avoid: {}."), ("check", 2, "Check: {}."))]
+    return strip(out.otherwise(F.concat_ws(" ", _formed("If {}:", triggers), *plain)))
+
+
+def experience_block(texts: Column, meta: Column | None = None) -> Column:
+    """The filled texts as a list, a line each, after a line of general advice if one is given."""
+    lines = F.transform(clean_list(texts), lambda t: F.concat(F.lit("- "), t))
+    return F.array_join(lines if meta is None else F.concat(F.array(F.concat(F.lit("- "), meta)), lines), "\n")

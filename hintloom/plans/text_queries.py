@@ -201,3 +201,19 @@ def card_issue_histogram(spark, sf_dir):
 def card_drop_reasons(spark, sf_dir):
     rows, card = _cards(spark, sf_dir)
     return rows.groupBy(F.coalesce(cards.drop_reason(card, F.array_join(card["do"], " ")), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("card_texts_typed", f"""SELECT line_no, md5(concat_ws(chr(10), CASE WHEN len(keys) > 0 THEN 'TRIGGER: ' || array_to_string(keys, ' | ') END, CASE WHEN len(keys) > 0 THEN 'TAGS: ' || array_to_string(keys, ' ') END,
+      CASE WHEN type = 'edge_fix' AND topic <> '' THEN 'EDGE: ' || topic END, CASE WHEN type = 'edge_fix' AND answer <> '' THEN 'FIX: ' || answer END,
+      CASE WHEN len(items) > 0 THEN 'DO: ' || array_to_string(items, ' ; ') END, CASE WHEN len(items) > 1 THEN 'AVOID: ' || items[2] END)) AS index_text,
+    md5(CASE WHEN type = 'edge_fix' THEN concat_ws(' ', 'EDGE CASE if ' || nullif(array_to_string(keys[1:2], ' | '), '') || ':', nullif(topic, '') || '.', 'Fix: ' || nullif(answer, '') || '.')
+      ELSE concat_ws(' ', 'If ' || nullif(array_to_string(keys[1:2], ' | '), '') || ':', 'Do: ' || nullif(array_to_string(items[1:3], '; '), '') || '.', CASE WHEN len(items) > 1 THEN 'Avoid: ' || items[2] || '.' END) END) AS inject_text FROM ({_CARDS})""")
+def card_texts_typed(spark, sf_dir):
+    rows, card = _cards(spark, sf_dir)
+    return rows.select("line_no", F.md5(cards.typed_index_text(card)).alias("index_text"), F.md5(cards.typed_inject_text(card)).alias("inject_text"))
+
+
+@query("experience_block", f"SELECT line_no, md5(array_to_string(list_transform(['Check each step.'] || items, lambda x: '- ' || x), chr(10))) AS block FROM ({_CARDS})")
+def experience_block(spark, sf_dir):
+    rows, card = _cards(spark, sf_dir)
+    return rows.select("line_no", F.md5(cards.experience_block(card["do"], F.lit("Check each step."))).alias("block"))

@@ -6,7 +6,7 @@ import base64
 import functools
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -72,12 +72,12 @@ class Bm25:
         return np.bincount(self.doc[at], self.weight[at], minlength=self.n)
 
 
-def fill(sizes: np.ndarray, capacity: int, index: Bm25 | None) -> list[list[int]]:
+def fill(sizes: np.ndarray, capacity: int, neighbours: Callable[[int], np.ndarray] | None) -> list[list[int]]:
     """Containers of item numbers, each with at most ``capacity`` in all; no item may be larger than that.
 
     The largest unused item seeds a container. Its unused neighbours enter in the order of their scores while the room they would leave
-    can still be used, which is when they fill it or some unused item fits it; then the largest items that fit close the gap. Without an
-    index only the last step is taken.
+    can still be used, which is when they fill it or some unused item fits it; then the largest items that fit close the gap.
+    ``neighbours`` gives every item's score for a seed; without it only the last step is taken.
     """
     order = sorted(range(len(sizes)), key=lambda i: (int(sizes[i]), -i))
     free = [(int(sizes[i]), -i) for i in order]
@@ -92,8 +92,8 @@ def fill(sizes: np.ndarray, capacity: int, index: Bm25 | None) -> list[list[int]
         seed = -free[-1][1]
         box, room = [seed], capacity - int(sizes[seed])
         take(seed)
-        if index is not None and room and free and free[0][0] <= room:
-            scores = index.scores(seed)
+        if neighbours is not None and room and free and free[0][0] <= room:
+            scores = neighbours(seed)
             near = np.flatnonzero(unused & (scores > 0) & (sizes <= room))
             for item in near[np.lexsort((near, -scores[near]))]:
                 left = room - int(sizes[item])
@@ -128,8 +128,8 @@ def _pack(frame: pd.DataFrame, kinds: list[tuple[str, int]], prefix: str, with_i
             rows += [(kind, f"{prefix}-{part['id'][i]}.{c}", part["id"][i], c, capacity, capacity) for c in range(whole[i])]
         left = np.flatnonzero((rest > 0) | (total == 0))
         chunk = whole if with_index else part["chunk"].to_numpy()
-        sub = index if len(left) == len(part) else None if index is None else Bm25(part["text"][left].tolist())
-        for n, box in enumerate(fill(rest[left], capacity, sub)):
+        near = None if index is None else lambda i, left=left: index.scores(left[i])[left]
+        for n, box in enumerate(fill(rest[left], capacity, near)):
             used = int(rest[left][box].sum())
             rows += [(kind, f"{prefix}-{n}", part["id"][left[i]], int(chunk[left[i]]), int(rest[left[i]]), used) for i in box]
     return pd.DataFrame(rows, columns=["container_kind", "container", "id", "chunk", "n_tokens", "used"])

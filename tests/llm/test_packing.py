@@ -75,7 +75,7 @@ def test_bm25_equals_definition():
 
 def test_neighbours_share_a_container():
     texts = ["cat mat hat " * 3] * 4 + ["sun moon star " * 3] * 4
-    boxes = packing.fill(np.full(8, 8), 32, packing.Bm25(texts))
+    boxes = packing.fill(np.full(8, 8), 32, packing.Bm25(texts).scores)
     assert sorted(map(sorted, boxes)) == [[0, 1, 2, 3], [4, 5, 6, 7]]
     assert packing.fill(np.zeros(0, int), 8, None) == []
     assert packing.fill(np.array([8, 8, 3, 5]), 8, None) == [[0], [1], [3, 2]]

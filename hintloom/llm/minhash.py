@@ -151,8 +151,7 @@ def near_duplicates(
     classes = base.where(F.col("n") >= shingle).groupBy("digest").agg(F.min("id").alias("rep"), F.first("salt").alias("salt"), F.count("*").alias("copies"), F.first("text").alias("text"))
     classes = cut(classes)
     keyed = signatures(classes, shingle, bands, rows, keep_grams=False).select("rep", F.explode("keys").alias("key"))
-    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = keyed.repartition(n_parts, "key")
+    keyed = keyed.repartition("key")
     recurring = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("lo")).where("n > 1")
     members = cut(keyed.join(recurring, "key"))
     involved = members.select("rep").distinct()

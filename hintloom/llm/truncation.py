@@ -8,8 +8,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hintloom.lineage import cut
 from hintloom.llm.endings import before_mark, blank_or_shell, encoded_lengths, ending, is_shell, length_limits, source_name, stripped
 
+#: Fields and sources with limits up to which their table (some 200 bytes a row) is sent to every task; beyond, the values are joined with it by shuffle.
+FEW_SOURCES = 20_000
+
 THINK_OPEN, THINK_CLOSE, THOUGHT_CLOSE = "<think>", "</think>", "</thought>"
 
 
@@ -59,8 +63,9 @@ def _column(fn: Callable, *columns: Column) -> Column:
 def at_limit(values: DataFrame, limits: DataFrame) -> DataFrame:
     """``values`` (field, id, source, text, …) with ``limit``: the encoding in which the text is exactly as long as its source allows, or null."""
     lengths = F.create_map(*[x for k, v in encoded_lengths(F.col("text")).items() for x in (F.lit(k), v.cast("bigint"))])
-    known = limits.groupBy("field", "source").agg(F.collect_list(F.struct("encoding", "limit")).alias("known"))
-    joined = values.join(known.withColumnRenamed("source", "s").withColumnRenamed("field", "f"), (F.col("f") == F.col("field")) & F.col("s").eqNullSafe(F.col("source")), "left")
+    known = cut(limits.groupBy(F.col("field").alias("f"), F.col("source").alias("s")).agg(F.collect_list(F.struct("encoding", "limit")).alias("known")))
+    known = F.broadcast(known) if known.count() <= FEW_SOURCES else known
+    joined = values.join(known, (F.col("f") == F.col("field")) & F.col("s").eqNullSafe(F.col("source")), "left")
     joined = joined.withColumn("lengths", F.when(F.col("known").isNotNull(), lengths))
     hit = F.filter("known", lambda x: F.element_at("lengths", x["encoding"]) == x["limit"])
     return joined.withColumn("limit", F.try_element_at(hit, F.lit(1))["encoding"]).drop("f", "s", "known", "lengths")

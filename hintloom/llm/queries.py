@@ -38,13 +38,18 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _overlaps(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return splitjoin.split_overlaps(_table(spark, sf_dir, "joined_sample"), "line_no", "unique_key", "question", "split_name")
+    return splitjoin.split_overlaps(_table(spark, sf_dir, "joined_sample"), "line_no", "unique_key", "question", "split_name", source_col="source")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitjoin.overlap_pairs(_overlaps(spark, sf_dir)).select(F.col("a").alias("line_a"), F.col("b").alias("line_b"))
 
 
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of holdout and valid, and those of them that are also in train, per split and source."""
+    return splitjoin.overlap_rates(_overlaps(spark, sf_dir)).withColumnRenamed("split", "split_name")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     traces = _table(spark, sf_dir, "sample_source_cot")
     found = pairs.defective_pairs(traces, "line_no", "question", "model_think", "model_response", "answer", "source_model")
@@ -98,7 +103,7 @@ def p7_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kinds(spark, sf_dir).withColumnRenamed("id", "doc_id").drop("votes")
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p3_limits": p3_limits, "p4_found": p4_found, "p5_packing": p5_packing, "p5_fill_rates": p5_fill_rates, "p6_found": p6_found, "p7_found": p7_found, "p7_statistics": p7_statistics}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p3_limits": p3_limits, "p4_found": p4_found, "p4_rates": p4_rates, "p5_packing": p5_packing, "p5_fill_rates": p5_fill_rates, "p6_found": p6_found, "p7_found": p7_found, "p7_statistics": p7_statistics}
 
 _WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
 
@@ -125,6 +130,10 @@ _P4 = f"""WITH rows_ AS (SELECT line_no, question, lower(trim(split_name)) = 'tr
     same AS (SELECT a.line_no AS x, b.line_no AS y FROM keys a JOIN keys b ON a.o = b.o AND a.train AND NOT b.train)
     SELECT DISTINCT least(x, y) AS line_a, greatest(x, y) AS line_b FROM (SELECT * FROM near UNION ALL SELECT * FROM same)"""
 
+_P4_RATES = f"""{_P4.rpartition(chr(10))[0]}
+    SELECT lower(trim(split_name)) AS split_name, source, count(*) AS n_rows, count(*) FILTER (k) AS by_key, count(*) FILTER (q) AS by_question, count(*) FILTER (k OR q) AS by_either
+    FROM (SELECT split_name, source, line_no IN (SELECT y FROM same) AS k, line_no IN (SELECT y FROM near) AS q FROM joined_sample WHERE lower(trim(split_name)) IN ('holdout', 'valid')) GROUP BY ALL"""
+
 _P6 = f"SELECT DISTINCT doc_id, question_id FROM ({_shingles('documents', 'text', 'doc_id', 12)}) JOIN ({_shingles('sample_benchmark', 'question', 'question_id', 12)}) USING (g)"
 
-SQL: dict[str, str] = {"p1_found": _P1, "p4_found": _P4, "p6_found": _P6}
+SQL: dict[str, str] = {"p1_found": _P1, "p4_found": _P4, "p4_rates": _P4_RATES, "p6_found": _P6}

@@ -119,23 +119,25 @@ def similar_across(left: DataFrame, right: DataFrame, threshold: float = 0.5) ->
     return both.where(sure | at_least(*sets, threshold)).select("left_id", "right_id", "edits")
 
 
-def split_overlaps(df: DataFrame, id_col: str, key_col: str, text_col: str, split_col: str, train: str = "train", evaluation: tuple[str, ...] = ("holdout", "valid"), threshold: float = 0.5) -> dict[str, DataFrame]:
+def split_overlaps(df: DataFrame, id_col: str, key_col: str, text_col: str, split_col: str, train: str = "train", evaluation: tuple[str, ...] = ("holdout", "valid"), threshold: float = 0.5, source_col: str | None = None) -> dict[str, DataFrame]:
     """What the evaluation splits share with the training split.
 
-    Three frames: ``members`` (id, side, text_class, origin) with one row per row of a named split; ``classes`` (eval_class, train_class,
+    Three frames: ``members`` (id, side, split, source, text_class, origin) with one row per row of a named split; ``classes`` (eval_class, train_class,
     edits), pairs of different or equal texts; ``origins`` (origin), the origin keys on both sides. Equal texts form one class per side
     before the join, so a question that fills a third of the rows is compared once. Null, blank and short texts and null or malformed
     keys match nothing; rows of other splits, with a null split or a null id are left out; other columns are ignored.
     """
     side = F.when(F.trim(F.lower(F.col(split_col))) == train, "t").when(F.trim(F.lower(F.col(split_col))).isin(*evaluation), "e")
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), side.alias("side"), origin_key(F.col(key_col)).alias("origin"), words(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
-    rows = rows.where("id is not null and side is not null").select("id", "side", "origin", F.when(F.size("w") >= SHINGLE, F.array_join("w", " ")).alias("text"))
+    source = F.col(source_col) if source_col else F.lit(None).cast("string")
+    labels = [F.trim(F.lower(F.col(split_col))).alias("split"), source.alias("source")]
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), side.alias("side"), *labels, origin_key(F.col(key_col)).alias("origin"), words(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
+    rows = rows.where("id is not null and side is not null").select("id", "side", "split", "source", "origin", F.when(F.size("w") >= SHINGLE, F.array_join("w", " ")).alias("text"))
     rows = rows.withColumn("digest", F.unhex(F.md5(F.coalesce("text", F.concat(F.lit("\n"), F.col("id").cast("string"))))))
     texts = cut(rows.where("text is not null").groupBy("side", "digest").agg(F.min("id").alias("cid"), F.first("text").alias("text")))
     of = lambda s: texts.where(F.col("side") == s).select("cid", "text")
     pairs = similar_across(of("e"), of("t"), threshold)
     classes = pairs.select(F.col("left_id").alias("eval_class"), F.col("right_id").alias("train_class"), "edits")
-    members = rows.select("id", "side", "digest", "origin").join(texts.select("side", "digest", F.col("cid").alias("text_class")), ["side", "digest"], "left").select("id", "side", "text_class", "origin")
+    members = rows.select("id", "side", "split", "source", "digest", "origin").join(texts.select("side", "digest", F.col("cid").alias("text_class")), ["side", "digest"], "left").select("id", "side", "split", "source", "text_class", "origin")
     keyed = members.where("origin is not null").select("side", "origin").distinct()
     origins = keyed.groupBy("origin").agg(F.count("*").alias("n")).where("n = 2").select("origin")
     return {"members": members, "classes": classes, "origins": origins}
@@ -150,3 +152,15 @@ def overlap_pairs(found: dict[str, DataFrame]) -> DataFrame:
     ty = tr.select(F.col("text_class").alias("train_class"), F.col("id").alias("y"))
     by_text = classes.join(ex, "eval_class").join(ty, "train_class").select("x", "y")
     return by_key.union(by_text).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def overlap_rates(found: dict[str, DataFrame]) -> DataFrame:
+    """(split, source, n_rows, by_key, by_question, by_either): the evaluation rows of each split and source, and how many of them are also in training.
+
+    A row counts once however many training rows it meets: origins and classes are matched, the pairs aren't expanded.
+    """
+    classes = found["classes"].select(F.col("eval_class").alias("text_class"), F.lit(True).alias("q")).distinct()
+    origins = found["origins"].withColumn("k", F.lit(True))
+    ev = found["members"].where("side = 'e'").join(origins, "origin", "left").join(classes, "text_class", "left")
+    k, q = (F.coalesce(F.col(c), F.lit(False)) for c in ("k", "q"))
+    return ev.groupBy("split", "source").agg(F.count("*").alias("n_rows"), F.count_if(k).alias("by_key"), F.count_if(q).alias("by_question"), F.count_if(k | q).alias("by_either"))

@@ -97,3 +97,18 @@ def test_origin_key(spark):
     keys = ["A/b/007", " a / B / 7 ", "a/b/", "a/b", "a/b/7/8", None, "", "a/b/x01"]
     df = spark.createDataFrame([(k,) for k in keys], "k string").select(splitjoin.origin_key(F.col("k")).alias("o"))
     assert [r.o for r in df.collect()] == ["a/b/7", "a/b/7", None, None, None, None, None, "a/b/x01"]
+
+
+def test_rows_are_counted_per_split_and_source(spark):
+    rows = [
+        (1, "pool/test/1", "one two three four", "train", "a"),
+        (2, "pool/test/1", "one two three four", "train", "b"),
+        (3, "Pool/test/01", "other words than these", "valid", "a"),
+        (4, None, "One two three, four", " Holdout", "a"),
+        (5, "pool/test/1", "one two three four", "holdout", "a"),
+        (6, "pool/test/6", "nothing of the sort", "holdout", "a"),
+        (7, None, None, "valid", None),
+    ]
+    df = spark.createDataFrame(rows, "line_no bigint, k string, q string, s string, src string")
+    got = splitjoin.overlap_rates(splitjoin.split_overlaps(df, "line_no", "k", "q", "s", source_col="src")).collect()
+    assert {tuple(r) for r in got} == {("valid", "a", 1, 1, 0, 1), ("holdout", "a", 3, 1, 2, 2), ("valid", None, 1, 0, 0, 0)}

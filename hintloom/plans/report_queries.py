@@ -257,3 +257,11 @@ def mock_pipeline(spark, sf_dir):
     prompt = T.render(F.lit("{{question}}{{hints}}"), {"question": F.col("question"), "hints": F.when(F.col("mode") == "hinted", F.col("hints"))})
     made = generate(items.withColumn("prompt", prompt), "prompt").where("generation.status = 'success'")
     return made.groupBy("mode").agg(F.count("*").alias("runs"), F.sum(F.length("prompt")).alias("characters"))
+
+
+@query("batch_pipeline")
+def batch_pipeline(spark, sf_dir):
+    """Every problem to a trace and a card, every benchmark item through retrieval, generation, checking and the summary of both modes."""
+    from hintloom.plans.pipeline import run_pipeline
+
+    return run_pipeline(table(spark, sf_dir, "sample_problems"), table(spark, sf_dir, "sample_benchmark"), "{{question}}\n\n{{hints}}")

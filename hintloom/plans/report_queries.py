@@ -225,13 +225,15 @@ def progress_windows(spark, sf_dir):
 
 @query("judge_demo")
 def judge_demo(spark, sf_dir):
-    """Runs three constant, trusted programs on numbers of the question ids: one right, one wrong, one failing."""
+    """Runs three constant, trusted programs, one on each benchmark row's numbers: one right, one wrong, one failing."""
     from hintloom.operators.judging import judge
 
-    items = table(spark, sf_dir, "sample_benchmark").select("question_id", (F.col("line_no") % 7).cast("string").alias("n"))
-    code = F.when(F.col("n") == "0", "raise ValueError").when(F.col("n") == "1", "print(int(input()))").otherwise("print(int(input()) + 1)")
-    cases = F.array(F.struct(F.col("n").alias("input"), (F.col("n").cast("int") + 1).cast("string").alias("output")))
-    asked = items.groupBy("n").agg(F.min("question_id").alias("unique_key")).select("unique_key", F.concat(F.lit("```python\n"), code, F.lit("\n```")).alias("output"), cases.alias("cases"))
+    # The rows are few and each is a process per case, so they are spread over all cores.
+    items = table(spark, sf_dir, "sample_benchmark").select("question_id", "line_no", "problem_idx").repartition(spark.sparkContext.defaultParallelism, "question_id")
+    n = F.col("line_no") % 7
+    code = F.when(n == 0, "raise ValueError").when(n == 1, "print(int(input()))").otherwise("print(int(input()) + 1)")
+    cases = F.array(*[F.struct(x.cast("string").alias("input"), (x + 1).cast("string").alias("output")) for x in (n, F.col("line_no"), F.col("problem_idx"))])
+    asked = items.select(F.col("question_id").alias("unique_key"), F.concat(F.lit("```python\n"), code, F.lit("\n```")).alias("output"), cases.alias("cases"))
     return judge(asked).select("unique_key", "status", "lang", "passed", "total_tests")
 
 

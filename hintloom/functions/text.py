@@ -19,7 +19,7 @@ END_TAGS = {
     "wide": r"<\s*/\s*(?:thought|think|analysis|reasoning|redacted_reasoning)\s*>|<\s*(?:thought|think)\s*/\s*>|<\s*end_?(?:thought|think)s?\s*>|<\s*(?:thought|think)_?ends?\s*>|<\s*(?:thought|think)_process_end\s*>",
     "short": r"<\s*/\s*(?:thought|think|analysis|reasoning)\s*>",
 }
-ANSWER_LINES = (r"(?im)^\s*final\s+answer\s*[:：][^\S\n]*(\S.*?)\s*$", r"(?im)^\s*answer\s*[:：][^\S\n]*(\S.*?)\s*$", r"(?i)\bthe\s+final\s+answer\s+is\s+([^\n]+)", r"(?i)\bthe\s+answer\s+is\s+([^\n]+)")
+ANSWER_LINES = (r"(?imU)^\s*final\s+answer\s*[:：][^\S\n]*(\S.*?)\s*$", r"(?imU)^\s*answer\s*[:：][^\S\n]*(\S.*?)\s*$", r"(?iU)\bthe\s+final\s+answer\s+is\s+([^\n]+)", r"(?iU)\bthe\s+answer\s+is\s+([^\n]+)")
 DROPPED_IN_ANSWERS = ("$", "\\(", "\\)", "\\[", "\\]", "\\left", "\\right", "`", "*")
 LANGUAGES = {"py": "python", "python": "python", "python3": "python", "cpp": "cpp", "c++": "cpp", "cc": "cpp", "cxx": "cpp", "cplusplus": "cpp"}
 UNSUPPORTED = ("rust", "rs", "java", "javascript", "js", "go", "php", "ruby", "scala", "kotlin", "swift")

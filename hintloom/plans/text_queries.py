@@ -48,6 +48,12 @@ def answer_extract(spark, sf_dir):
     return rows.select("line_no", T.final_answer(F.col("x")).alias("final_answer"))
 
 
+@query("answer_extract_all")
+def answer_extract_all(spark, sf_dir):
+    """The final answers of all rows; ``answer_extract`` leaves out those with a no-break space, as its SQL does."""
+    return table(spark, sf_dir, "sample_source_cot").select("line_no", T.final_answer(F.coalesce("model_response", F.lit(""))).alias("final_answer"))
+
+
 _NORMAL = r"rtrim({0}, '.;,')"
 
 

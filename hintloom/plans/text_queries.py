@@ -106,6 +106,13 @@ def code_extract(spark, sf_dir):
     return rows.select("line_no", "c.lang", F.md5("c.code").alias("code"))
 
 
+@query("code_extract_all")
+def code_extract_all(spark, sf_dir):
+    """The best code of all rows, the whole text where no block is closed; ``code_extract`` has those with a tagged block, as its SQL does."""
+    rows = table(spark, sf_dir, "joined_sample").select("line_no", T.best_code(F.col("flash_output")).alias("c"))
+    return rows.select("line_no", "c.lang", F.md5("c.code").alias("code"))
+
+
 @query("compare_outputs", "SELECT l_orderkey, l_linenumber, abs(l_tax - l_discount) <= 1e-6 OR (l_discount <> 0 AND abs(l_tax - l_discount) / greatest(abs(l_discount), 1e-15) <= 1e-6) AS same FROM lineitem")
 def compare_outputs(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", T.outputs_equal(F.col("l_tax").cast("string"), F.col("l_discount").cast("string")).alias("same"))

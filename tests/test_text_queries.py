@@ -1,7 +1,8 @@
+import hashlib
+
 from oracle import SF_DIR
-from pyspark.sql import functions as F
 
-from hintloom.functions import text as T
+from hintloom.operators.judging import pick_code
 from hintloom.plans import registry, text_queries
 
 assert text_queries
@@ -17,3 +18,27 @@ def test_every_response_gets_an_answer(spark, tmp_path):
 def test_all_rows_hold_those_of_the_sql(spark):
     every, part = ({r.line_no: r.final_answer for r in registry.QUERIES[n](spark, SF_DIR).collect()} for n in ("answer_extract_all", "answer_extract"))
     assert len(every) == spark.read.parquet(f"{SF_DIR}/sample_source_cot.parquet").count() and part.items() <= every.items()
+
+
+def md5(code):
+    return hashlib.md5(code.encode()).hexdigest()
+
+
+def extracted(spark, sf_dir):
+    return {r.line_no: (r.lang, r.code) for r in registry.QUERIES["code_extract_all"](spark, sf_dir).collect()}
+
+
+def test_code_of_all_kinds_of_outputs(spark, tmp_path):
+    rows = [
+        (1, " print(1) \n"), (2, "see\n```\nx = 1\n```"), (3, "```C++\nint a;\n```"), (4, "```Python\na\n```\nor\n```py\nlonger = 2\n```"),
+        (5, "```cpp\nint main() {"), (6, "```rust\nfn main() {}\n```\n```\ny\n```"), (7, "```python\na\n```\n```\nmuch longer text\n```"), (8, ""), (9, None),
+    ]
+    spark.createDataFrame(rows, "line_no bigint, flash_output string").write.parquet(f"{tmp_path}/joined_sample.parquet")
+    want = {1: (None, "print(1)"), 2: (None, "x = 1"), 3: ("cpp", "int a;"), 4: ("python", "longer = 2"), 5: (None, "```cpp\nint main() {"), 6: (None, "y"), 7: ("python", "a"), 8: (None, "")}
+    assert extracted(spark, str(tmp_path)) == {k: (lang, md5(code)) for k, (lang, code) in want.items()} | {9: (None, None)}
+
+
+def test_code_of_all_rows_equals_the_judge(spark):
+    rows = spark.read.parquet(f"{SF_DIR}/joined_sample.parquet").select("line_no", "flash_output").collect()
+    want = {r.line_no: (lang, md5(code)) if r.flash_output is not None else (None, None) for r in rows for lang, code in [pick_code(r.flash_output)]}
+    assert extracted(spark, SF_DIR) == want and len(want) == len(rows)

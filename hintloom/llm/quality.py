@@ -155,12 +155,12 @@ def _masks() -> np.ndarray:
     return np.array([[[k in said.split() for k in KINDS] for said in (no, yes)] for _, _, yes, no in FUNCTIONS], float)
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 40, hold: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 40, hold: float = 100.0) -> tuple[np.ndarray, np.ndarray]:
     """(posterior by pattern and kind, accuracy by function and kind) by expectation-maximization on the functions' agreements.
 
     A function is taken for a noisy observer: per kind it has a rate of passing, which starts at 0.9 for the kinds it votes for, 0.1 for
     those it votes against and 0.5 where it abstains, and is learned from the posteriors that all functions give together. ``hold`` is
-    the weight of the start, in parts of the documents of the kind, so that a kind keeps its meaning when few documents are of it. The
+    the weight of the start in documents, so that a kind keeps its meaning when few documents are of it and is learned when many are. The
     accuracy is the rate of the outcome that votes for the kind.
     """
     masks = _masks()
@@ -175,7 +175,7 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 40, hold: float
         weighted = posterior * counts[:, None]
         mass = weighted.sum(0)
         prior = (mass + 0.01 * mass.sum() + 1e-9) / (mass + 0.01 * mass.sum() + 1e-9).sum()
-        rate = np.clip((passed.T @ weighted + start * (hold * mass + 1)) / (mass + hold * mass + 1), 0.003, 0.997)
+        rate = np.clip((passed.T @ weighted + start * hold) / (mass + hold), 0.003, 0.997)
     return posterior, np.where(against > 0, 1 - rate, rate)
 
 

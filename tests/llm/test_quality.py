@@ -51,3 +51,10 @@ def test_fit_recovers_accuracies():
     said = np.array([best[int(p)] for p in bits @ (1 << np.arange(len(rates)))])
     assert (said == kind).mean() > 0.97
     assert accuracy.shape == rates.shape
+
+
+def test_rates_are_learned_from_many_documents():
+    prose = quality.KINDS.index("prose")
+    usual = sum(1 << i for i, (_, _, yes, _) in enumerate(quality.FUNCTIONS) if "prose" in yes.split())
+    accuracy = quality.fit(np.array([usual, usual & ~1]), np.array([50_000.0, 50_000.0]))[1]
+    assert accuracy[0, prose] == pytest.approx(0.5, abs=0.01)

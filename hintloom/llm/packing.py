@@ -114,28 +114,34 @@ def fill(sizes: np.ndarray, capacity: int, neighbours: Callable[[int], np.ndarra
     return out
 
 
-def _pack(frame: pd.DataFrame, kinds: list[tuple[str, int]], prefix: str, with_index: bool) -> pd.DataFrame:
-    """Packs one shard for every kind; rows of (container_kind, container, id, chunk, n_tokens, used)."""
+def _pack(frame: pd.DataFrame, kinds: list[tuple[str, int]], prefix: str, first: bool) -> pd.DataFrame:
+    """Packs one shard for every kind, or a group of reopened items; rows of (container_kind, container, id, chunk, n_tokens, used, text).
+
+    The text is kept only where the first pass leaves a container to be reopened.
+    """
     frame = frame.sort_values([c for c in ("id", "chunk") if c in frame]).reset_index(drop=True)
-    index = Bm25(frame["text"].tolist()) if with_index else None
+    index = Bm25(frame["text"].tolist()) if first else None
     rows = []
     for kind, capacity in kinds:
-        part = frame if with_index else frame[frame["container_kind"] == kind].reset_index(drop=True)
+        part = frame if first else frame[frame["container_kind"] == kind].reset_index(drop=True)
+        if not len(part):
+            continue
+        index = index if first else Bm25(part["text"].tolist())
         total = part["n_tokens"].to_numpy()
-        whole = total // capacity if with_index else np.zeros(len(part), np.int64)
+        whole = total // capacity if first else np.zeros(len(part), np.int64)
         rest = total - whole * capacity
         for i in np.flatnonzero(whole):
-            rows += [(kind, f"{prefix}-{part['id'][i]}.{c}", part["id"][i], c, capacity, capacity) for c in range(whole[i])]
+            rows += [(kind, f"{prefix}-{part['id'][i]}.{c}", part["id"][i], c, capacity, capacity, None) for c in range(whole[i])]
         left = np.flatnonzero((rest > 0) | (total == 0))
-        chunk = whole if with_index else part["chunk"].to_numpy()
-        near = None if index is None else lambda i, left=left: index.scores(left[i])[left]
+        chunk = whole if first else part["chunk"].to_numpy()
+        near = lambda i, left=left, index=index: index.scores(left[i])[left]
         for n, box in enumerate(fill(rest[left], capacity, near)):
             used = int(rest[left][box].sum())
-            rows += [(kind, f"{prefix}-{n}", part["id"][left[i]], int(chunk[left[i]]), int(rest[left[i]]), used) for i in box]
-    return pd.DataFrame(rows, columns=["container_kind", "container", "id", "chunk", "n_tokens", "used"])
+            rows += [(kind, f"{prefix}-{n}", part["id"][left[i]], int(chunk[left[i]]), int(rest[left[i]]), used, part["text"][left[i]] if first and used < capacity * REOPEN else None) for i in box]
+    return pd.DataFrame(rows, columns=["container_kind", "container", "id", "chunk", "n_tokens", "used", "text"])
 
 
-PACKED = "container_kind string, container string, id bigint, chunk bigint, n_tokens bigint, used bigint"
+PACKED = "container_kind string, container string, id bigint, chunk bigint, n_tokens bigint, used bigint, text string"
 
 
 def pack_documents(documents: DataFrame, id_col: str, text_col: str, containers: DataFrame, kind_col: str, capacity_col: str, tokenizer: str) -> DataFrame:
@@ -144,7 +150,7 @@ def pack_documents(documents: DataFrame, id_col: str, text_col: str, containers:
     Documents get a shard by the hash of their id, about ``SHARD`` to a shard however many there are, and a shard is packed by ``fill``
     with a BM25 index over its own texts. Only a document larger than the capacity is divided: into full containers, and a last piece that
     is packed like a document. Containers filled less than ``REOPEN`` are opened again and their items packed once more across shards, in
-    groups of the same bounded size, so that shards leave no gaps at their ends. ``used`` is the fill of the container.
+    groups of bounded size with an index of their own, so that shards leave no gaps at their ends. ``used`` is the fill of the container.
 
     Null and blank texts have their tokens counted, none or few, and lie in a container too. Repeated documents and ids are packed each;
     rows with a null id are left out. Kinds must be few (their number is checked); a null or non-positive capacity is refused. Empty

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from hintloom.llm import packing
@@ -79,3 +80,10 @@ def test_neighbours_share_a_container():
     assert sorted(map(sorted, boxes)) == [[0, 1, 2, 3], [4, 5, 6, 7]]
     assert packing.fill(np.zeros(0, int), 8, None) == []
     assert packing.fill(np.array([8, 8, 3, 5]), 8, None) == [[0], [1], [3, 2]]
+
+
+def test_reopened_items_are_packed_by_their_neighbours():
+    items = [(1, 60, "apple pie"), (2, 40, "brick wall"), (3, 38, "apple tree")]
+    frame = pd.DataFrame([("k", i, 0, n, t) for i, n, t in items], columns=["container_kind", "id", "chunk", "n_tokens", "text"])
+    got = packing._pack(frame, [("k", 100)], "g0", False)
+    assert sorted(sorted(ids) for ids in got.groupby("container")["id"].apply(list)) == [[1, 3], [2]]

@@ -4,8 +4,15 @@ from __future__ import annotations
 
 import re
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from hintloom.lineage import cut
+
+#: Fields and sources with limits up to which their table (some 200 bytes a row) is sent to every task; beyond, the values are joined with it by shuffle.
+FEW_SOURCES = 20_000
 
 # What counts as blank, as a mark put after a cut, as a shell without content, as a closing sign, as a result.
 INVISIBLE = "\u00ad\u180e\u200b\u200c\u200d\u200e\u200f\u2060\ufeff"
@@ -13,15 +20,17 @@ NOTE = (
     r"(?:…|\.{2,}|\+?\d+\s+(?:more\s+)?(?:chars?|characters|bytes|tokens|words|lines)(?:\s+\w+)?"
     r"|(?:\w+\s+){0,3}(?:truncated|clipped|omitted|snip|snipped|cut|cut\s+off|cut\s+short|continued|more)(?:\s+\w+){0,2})"
 )
-MARK = re.compile(r"(?:…|\.{3,}|\ufffd+|\[\s*" + NOTE + r"\s*\]|\(\s*" + NOTE + r"\s*\)|<\s*" + NOTE + r"\s*>)\Z", re.I)
+MARK = re.compile(r"(?:…+|\.{3,}|\ufffd+|\[\s*" + NOTE + r"\s*\]|\(\s*" + NOTE + r"\s*\)|<\s*" + NOTE + r"\s*>)", re.I)
 SHELL = re.compile(
     r"(?:none|null|nil|nan|n\s*/\s*a|undefined|empty|tbd|todo|[-–—_.?*~/]+|[(\[<]?\s*(?:no|empty|missing|blank)\s+(?:output|answer|response|result|content|text)\s*[)\]>]?"
     r"|\[\s*\]|\{\s*\}|\(\s*\)|\"\s*\"|'\s*'|\$\s*\$|\*\*\s*\*\*|\\boxed\s*\{\s*\}|<(\w+)>\s*</\1>|<\w+\s*/>|```\w*\s*```)",
     re.I,
 )
-CLOSING_SIGN = re.compile(r"(?:[∎□■◻◼▪]|\bq\.?\s?e\.?\s?d\.?|[-=*_~#]{3,}|\[\s*(?:end|done|fin|eof)\s*\]|--\s?(?:end|fin|done)|(?:^|\n)\s*(?:end|fin|done|eof)\.?)\Z", re.I)
-SENTENCE_END = re.compile(r"[.!?。！？｡؟](?:\s*[(\[][^()\[\]]{1,40}[)\]])?[\"'”’»›)\]}*_]*\Z")
-CLOSING_TAG = re.compile(r"</\w+>\Z")
+CLOSING_SIGN = re.compile(r"(?:[∎□■◻◼▪]|\bq\.?\s?e\.?\s?d\.?|\[\s*(?:end|done|fin|eof)\s*\]|--\s?(?:end|fin|done)|\A(?:end|fin|done|eof)\.?)\Z", re.I)
+RULE, STOPS, CLOSERS = "-=*_~#", ".!?。！？｡؟", "\"'”’»›)]}*_"
+BRACKETED = re.compile(r"[(\[][^()\[\]]{1,40}[)\]]")
+CLOSING_TAG = re.compile(r"</\w+>")
+OPENING = {"]": "[", ")": "(", ">": "<"}
 LABEL = r"(?:[*_#>\s]*[^\W\d_][^\W\d_ ]*(?: [^\W\d_]+){0,3}[*_]*\s?[:=：]\s?)?"
 VALUE = r"(?=.*[\w√π])(?:\d|[-+±*/^().,{}\[\]\\√π%°:<>=|]|\b[A-Za-z]{1,2}\b|sqrt|frac|\bpi\b|\bmod\b| ){0,60}[\w)\]}%°π]"
 RESULT_LINE = re.compile(LABEL + r"(?:\\boxed\{(.{1,80})\}|\*\*([^*\n]{1,80})\*\*|\$([^$\n]{1,80})\$|(" + VALUE + r"))\.?")
@@ -38,20 +47,39 @@ def stripped(text: str | None) -> str:
 def is_shell(text: str | None) -> bool:
     """Whether a text is null, blank or only a placeholder or an empty wrapper."""
     bare = stripped(text)
-    return not bare or len(bare) <= 60 and SHELL.fullmatch(bare) is not None
+    return not bare or SHELL.fullmatch(bare) is not None
 
 
 def before_mark(text: str | None) -> str:
     """``text`` without blanks at its ends and without the mark that was put where it had been cut."""
     base = stripped(text)
-    while m := MARK.search(base, max(0, len(base) - 120)):
-        base = stripped(base[: m.start()])
+    while base:
+        last = base[-1]
+        at = base.rfind(OPENING[last]) if last in OPENING else len(base.rstrip(last)) if last in "….\ufffd" else -1
+        if at < 0 or not MARK.fullmatch(base, at):
+            break
+        base = stripped(base[:at])
     return base
 
 
+def ends_sentence(text: str) -> bool:
+    """Whether a text ends with a sentence, perhaps in quotes, brackets or emphasis, or before a bracketed note of up to forty characters."""
+    bare = text.rstrip(CLOSERS)
+    if bare[-1:] in STOPS:
+        return bare != ""
+    noted = text.rstrip(CLOSERS.replace(")", "").replace("]", ""))
+    at = max(noted.rfind("("), noted.rfind("["))
+    return at > 0 and BRACKETED.fullmatch(noted, at) is not None and noted[:at].rstrip()[-1:] in STOPS
+
+
+def ends_closed(line: str) -> bool:
+    """Whether a line ends with a sign that closes a text: a rule, a square, ``QED``, ``end`` and the like."""
+    return len(line) - len(line.rstrip(RULE)) >= 3 or CLOSING_SIGN.search(line) is not None
+
+
 def result_value(line: str) -> str | None:
     """The value of a line that holds a result only, perhaps after a label; null for any other line."""
-    m = RESULT_LINE.fullmatch(line) if len(line) <= 160 else None
+    m = RESULT_LINE.fullmatch(line)
     if m is None or ("**" in line[:2] and line.count("**") % 2) or any(line.count(x) != line.count(y) for x, y in ("()", "[]", "{}")):
         return None
     return next(g for g in m.groups() if g is not None).strip()
@@ -71,22 +99,36 @@ def ending(text: str | None, answer: str | None = None) -> str | None:
         return "mark"
     if base.count("```") % 2:
         return "code"
-    if base.endswith("```") or CLOSING_TAG.search(base) or CLOSING_SIGN.search(base, max(0, len(base) - 40)):
-        return None
     line = base[base.rfind("\n") + 1 :].strip()
+    if base.endswith("```") or ends_closed(line) or base.endswith(">") and CLOSING_TAG.fullmatch(base, max(0, base.rfind("<"))):
+        return None
     value = result_value(line)
     if value is not None:
         return "answer" if answer and value != answer.strip() and answer.strip().startswith(value) else None
-    return None if SENTENCE_END.search(base, max(0, len(base) - 64)) or is_shell(line) else "sentence"
+    return None if ends_sentence(base) or is_shell(line) else "sentence"
+
 
+#: How stores count a text: in characters, bytes or code units, escaped for HTML or JSON, with CR LF for new lines.
+ENCODINGS = ("characters", "utf8 bytes", "utf16 units", "html", "html with quotes", "json", "json bytes", "crlf", "crlf bytes")
+MEASURED = "lengths array<int>, h bigint"
 
-def blank_or_shell(text: Column) -> Column:
-    """``is_shell`` as a column expression over Arrow batches."""
-    return F.pandas_udf(lambda s: s.map(is_shell).astype(bool), "boolean")(text)
 
+def text_lengths(text: str) -> list[int]:
+    """The lengths of a text in the order of ``ENCODINGS``."""
+    n, wide, lines = len(text), len(text.encode("utf-8", "surrogatepass")), text.count("\n")
+    html = 3 * (text.count("<") + text.count(">")) + 4 * text.count("&")
+    quotes, returns = text.count('"'), text.count("\r")
+    escapes = lines + returns + quotes + text.count("\\") + text.count("\t")
+    bare_lines = lines - (text.count("\r\n") if returns else 0)
+    units = n if wide == n else len(text.encode("utf-16-le", "surrogatepass")) // 2
+    return [n, wide, units, n + html, n + html + 5 * (quotes + text.count("'")), n + escapes, wide + escapes, n + bare_lines, wide + bare_lines]
 
-def count_of(text: Column, part: str) -> Column:
-    return (F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / F.lit(len(part))
+
+def measures(text: str | None) -> tuple[list[int] | None, int | None]:
+    """(lengths, digest) of a text; nulls for a shell, which no limit has cut."""
+    if is_shell(text):
+        return None, None
+    return text_lengths(text), xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
 
 
 def source_name(source: Column) -> Column:
@@ -94,40 +136,38 @@ def source_name(source: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(source)), r"[_\s-]+", "-")
 
 
-def encoded_lengths(text: Column) -> dict[str, Column]:
-    """Lengths of a text as stores count them: in characters, bytes or code units, escaped for HTML or JSON, with CR LF for new lines."""
-    n, nl = F.length(text), count_of(text, "\n")
-    angles = count_of(text, "<") * 3 + count_of(text, ">") * 3 + count_of(text, "&") * 4
-    quotes = count_of(text, '"')
-    escapes = nl + quotes + count_of(text, "\\") + count_of(text, "\t") + count_of(text, "\r")
-    wide = F.octet_length(text)
-    return {
-        "characters": n,
-        "utf8 bytes": wide,
-        "utf16 units": F.octet_length(F.encode(text, "UTF-16BE")) / 2,
-        "html": n + angles,
-        "html with quotes": n + angles + quotes * 5 + count_of(text, "'") * 5,
-        "json": n + escapes,
-        "json bytes": wide + escapes,
-        "crlf": n + nl - count_of(text, "\r\n"),
-        "crlf bytes": wide + nl - count_of(text, "\r\n"),
-    }
-
-
-def length_limits(values: DataFrame, least: int = 4, window: int = 32, spike: float = 8.0) -> DataFrame:
-    """Hidden limits of (field, source, text): (field, source, encoding, limit, n), n different texts exactly that long and none longer.
-
-    A length is a limit if it is the greatest of its field, source and encoding and at least ``least`` different texts have it, at least
-    ``spike`` times as many as a length has on average among the ``window`` below it. Equal texts count once, so a text that was loaded
-    many times makes no spike. Null and blank texts are left out; a null source is a source of its own.
+def _hits(values: DataFrame, spikes: DataFrame) -> DataFrame:
+    """``values`` (field, source, lengths, …) with ``hits``, the spikes (e, length, n, base) of their field and source that they lie on; null without any."""
+    known = cut(spikes.groupBy(F.col("field").alias("_f"), F.col("source").alias("_s")).agg(F.collect_list(F.struct("n", (-F.col("e")).alias("first"), "e", "length", "base")).alias("known")))
+    known = F.broadcast(known) if known.count() <= FEW_SOURCES else known
+    joined = values.join(known, (F.col("_f") == F.col("field")) & F.col("_s").eqNullSafe(F.col("source")), "left")
+    on = F.filter("known", lambda x: F.get(F.col("lengths"), x["e"]) == x["length"])
+    return joined.withColumn("hits", F.when(F.size(on) > 0, on)).drop("_f", "_s", "known")
+
+
+def length_limits(measured: DataFrame, least: int = 4, window: int = 32, spike: float = 8.0) -> DataFrame:
+    """Hidden limits of (field, source, h, lengths, unfinished): (field, source, encoding, limit, n), n different texts exactly that long.
+
+    Every length in every encoding is tested. It is a limit if at least ``least`` different texts have it, at least ``spike`` times as
+    many as a length has on average among the ``window`` below and among those above, and if nothing is longer or most of these texts
+    end unfinished. Texts cut at one limit also make spikes in other encodings: a text counts for the spike of most texts, ties to the
+    first encoding, and a spike must pass with the texts that are left to it. Equal texts count once, so a text that was loaded many
+    times makes no spike; shells (null lengths) are left out; a null source is a source of its own.
     """
-    lengths = F.map_from_arrays(F.array(*[F.lit(k) for k in encoded_lengths(F.col("text"))]), F.array(*[v.cast("bigint") for v in encoded_lengths(F.col("text")).values()]))
-    once = values.where(F.col("text").rlike(r"\S")).select("field", "source", F.xxhash64("text").alias("h"), F.map_entries(lengths).alias("lengths"))
-    once = once.groupBy("field", "source", "h").agg(F.first("lengths").alias("lengths"))
-    each = once.select("field", "source", F.inline("lengths").alias("encoding", "length")).groupBy("field", "source", "encoding", "length").agg(F.count("*").alias("n"))
-    top = each.groupBy("field", "source", "encoding").agg(F.max(F.struct("length", "n")).alias("top"))
-    top = top.where(F.col("top.n") >= least).select("field", "source", "encoding", F.col("top.length").alias("limit"), F.col("top.n").alias("n"))
-    near = each.select(F.col("field").alias("f"), F.col("source").alias("s"), F.col("encoding").alias("e"), "length", F.col("n").alias("m"))
-    same = (F.col("f") == F.col("field")) & F.col("s").eqNullSafe(F.col("source")) & (F.col("e") == F.col("encoding")) & (F.col("length") < F.col("limit")) & (F.col("length") >= F.col("limit") - window)
-    around = top.join(near, same, "left").groupBy("field", "source", "encoding", "limit", "n").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("below"))
-    return around.where(F.col("n") >= F.lit(spike) * F.col("below") / window).select("field", "source", "encoding", "limit", "n")
+    once = measured.where("lengths is not null").groupBy("field", "source", "h").agg(F.first("lengths").alias("lengths"), F.max("unfinished").alias("unfinished"))
+    each = once.select("field", "source", "unfinished", F.posexplode("lengths").alias("e", "length")).groupBy("field", "source", "e", "length").agg(F.count("*").alias("n"), F.count_if("unfinished").alias("bad"))
+    w = Window.partitionBy("field", "source", "e").orderBy("length")
+    near = lambda a, b: F.coalesce(F.sum("n").over(w.rangeBetween(a, b)), F.lit(0))
+    each = each.withColumns({"base": F.greatest(near(-window, -1), near(1, window)) / window, "longest": F.lead("length").over(w).isNull()})
+    stands_out = (F.col("n") >= least) & (F.col("n") >= spike * F.col("base"))
+    spikes = cut(each.where(stands_out & (F.col("longest") | (2 * F.col("bad") >= F.col("n")))).select("field", "source", "e", "length", "n", "base"))
+    own = _hits(once, spikes).where("hits is not null").groupBy("field", "source", F.array_max("hits").alias("m")).agg(F.count("*").alias("n"))
+    own = own.select("field", "source", F.col("m.e").alias("e"), F.col("m.length").alias("limit"), "n", F.col("m.base").alias("base"))
+    return own.where(stands_out).select("field", "source", F.get(F.array(*[F.lit(x) for x in ENCODINGS]), F.col("e")).alias("encoding"), "limit", "n")
+
+
+def at_limit(values: DataFrame, limits: DataFrame) -> DataFrame:
+    """``values`` (field, source, lengths, …) with ``limit``: the encoding in which the text is exactly as long as its source allows, or null."""
+    places = F.array(*[F.lit(x) for x in ENCODINGS])
+    known = limits.select("field", "source", (F.array_position(places, F.col("encoding")) - 1).cast("int").alias("e"), F.col("limit").alias("length"), "n", F.lit(0.0).alias("base"))
+    return _hits(values, known).withColumn("limit", F.get(places, F.array_max("hits")["e"])).drop("hits")

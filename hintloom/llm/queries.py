@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hintloom import lineage
 from hintloom.llm import endings, leak, minhash, packing, pairs, quality, splitjoin, truncation
 
-
 #: Folder of the public vocabulary files.
 TOKENIZERS = "/opt/tokenizers"
 
@@ -53,7 +53,14 @@ def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     traces = _table(spark, sf_dir, "sample_source_cot")
     found = pairs.defective_pairs(traces, "line_no", "question", "model_think", "model_response", "answer", "source_model")
-    return found.withColumnRenamed("id", "line_no")
+    return found.select(F.col("id").alias("line_no"), "defect")
+
+
+def p2_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows of each defect the neighbours, the limits, the endings and the rules find."""
+    traces = _table(spark, sf_dir, "sample_source_cot")
+    found = pairs.defective_pairs(traces, "line_no", "question", "model_think", "model_response", "answer", "source_model")
+    return found.groupBy("defect", "reason").agg(F.count("*").alias("n"))
 
 
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +77,7 @@ def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return endings.length_limits(_fields(spark, sf_dir).select("field", "source", "text")).withColumnRenamed("field", "field_name")
+    return endings.length_limits(truncation.as_measured(lineage.cut(_fields(spark, sf_dir)))).withColumnRenamed("field", "field_name")
 
 
 def p5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +110,7 @@ def p7_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kinds(spark, sf_dir).withColumnRenamed("id", "doc_id").drop("votes")
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p3_limits": p3_limits, "p4_found": p4_found, "p4_rates": p4_rates, "p5_packing": p5_packing, "p5_fill_rates": p5_fill_rates, "p6_found": p6_found, "p7_found": p7_found, "p7_statistics": p7_statistics}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_reasons": p2_reasons, "p3_found": p3_found, "p3_rates": p3_rates, "p3_limits": p3_limits, "p4_found": p4_found, "p4_rates": p4_rates, "p5_packing": p5_packing, "p5_fill_rates": p5_fill_rates, "p6_found": p6_found, "p7_found": p7_found, "p7_statistics": p7_statistics}
 
 _WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
 

@@ -64,6 +64,49 @@ def test_defective_pairs(spark):
     rows += [(100, Q, None, "One two three four five six seven eight nine = 12", "12/5", "m"), (101, Q, None, "One two three four five six seven eight nine = 12/5.", "12/5", "m")]
     schema = "line_no bigint, q string, t string, r string, a string, s string"
     df = spark.createDataFrame(rows, schema).selectExpr("*", "1 as id", "'x' as text", "0 as defect")
-    got = {r.id: r.defect for r in pairs.defective_pairs(df, "line_no", "q", "t", "r", "a", "s").collect()}
-    assert got == {2: "truncated", 3: "empty", 100: "truncated"}
+    got = {r.id: (r.defect, r.reason) for r in pairs.defective_pairs(df, "line_no", "q", "t", "r", "a", "s").collect()}
+    assert got == {2: ("truncated", "ending"), 3: ("empty", "empty"), 100: ("truncated", "prefix")}
     assert pairs.defective_pairs(df.limit(0), "line_no", "q", "t", "r", "a", "s").collect() == []
+
+
+def test_a_sibling_after_a_line_break_hides_no_continuation(spark):
+    start = "one two three four five six seven eight nine"
+    texts = [f"{start} te", f"{start} te\nother line", f"{start} ten eleven twelve."]
+    df = spark.createDataFrame([(t.encode(), t) for t in texts], "digest binary, text string").coalesce(1)
+    assert [bytes(r.digest).decode() for r in pairs.shortened(df).collect()] == [texts[0]]
+
+
+def test_continuations_beyond_whole_partitions(spark):
+    """A short text whose continuation lies partitions away, behind siblings that are no evidence."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        start = "one two three four five six seven eight nine te"
+        texts = [start] + [f"{start}\nline {i:04d}." for i in range(400)] + [f"{start}n eleven.", "a.", "z."]
+        df = spark.createDataFrame([(t.encode(), t) for t in texts], "digest binary, text string").repartition(4)
+        assert [bytes(r.digest).decode() for r in pairs.shortened(df).collect()] == [start]
+        assert pairs.shortened(df.where("text not like '%eleven.'")).collect() == []
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_only_limits_find_responses_that_end_like_sentences(spark):
+    rnd = random.Random(4)
+    words = lambda n: " ".join(rnd.choice("the sum of and is to we that for a".split()) for _ in range(n))
+    rows = [(i, Q, None, (f"{rnd.random()} " + words(200))[:511] + ".", "36", "m") for i in range(12)]
+    rows += [(100 + i, Q, None, words(rnd.randrange(10, 60)) + ".", "36", "m") for i in range(200)]
+    df = spark.createDataFrame(rows, "line_no bigint, q string, t string, r string, a string, s string")
+    got = {r.id: (r.defect, r.reason) for r in pairs.defective_pairs(df, "line_no", "q", "t", "r", "a", "s").collect()}
+    assert got == {i: ("truncated", "limit") for i in range(12)}
+
+
+def test_refusals_of_any_length():
+    filler = " ".join(["There are many good books on this subject and they may well be of use."] * 15)
+    assert pairs.is_refusal(f"I'm sorry, but I can't help with this question. {filler}")
+    work = " ".join(f"We multiply {i} by {i + 1} and get {i * i + i}." for i in range(15))
+    assert not pairs.is_refusal(f"I can't give a closed form, so we count. {work}")
+    assert not pairs.is_refusal("I can't help you more than this.\nAnswer: 36")
+
+
+def test_language_of_scripts():
+    assert pairs.language("Сначала мы считаем все колёса и складываем их.") == "ru"
+    assert pairs.language("これは答えではありません。") == "ja" and pairs.language("12 + 5") is None

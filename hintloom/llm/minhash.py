@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hintloom.functions.words import at_least, words
-from hintloom.llm.grams import as_lists, shingle_sets
+from hintloom.llm.grams import as_lists, common_shingles, prefix_keys, shingle_sets
 from hintloom.lineage import cut
 from hintloom.operators.graph import connected_components
 
-#: Texts of one band bucket that are compared pairwise; larger buckets are compared with their least member first, see ``_grouped``.
+#: Texts of one band bucket that are compared pairwise; larger buckets are compared with their least member first, see ``_grouped``. The groups are the same for any value.
 PAIRWISE = 48
 
 
@@ -37,7 +37,7 @@ def _hash_family(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(classes: DataFrame, k: int, bands: int, rows: int, keep_grams: bool) -> DataFrame:
-    """Of (rep, salt, text): (rep, keys), a key per band, or with ``keep_grams`` (rep, sig, grams), the minima's low bits and the shingles.
+    """Of (rep, salt, text): (rep, keys), a key per band, or with ``keep_grams`` (rep, salt, sig, grams), the minima's low bits and the shingles.
 
     Runs vectorised over Arrow batches: a hash function is applied to all shingles of a batch at once and reduced per text.
     """
@@ -65,11 +65,11 @@ def signatures(classes: DataFrame, k: int, bands: int, rows: int, keep_grams: bo
                 keys[:, band] = key
             flat = lambda m: as_lists(m.reshape(-1), np.arange(0, m.size + 1, m.shape[1]))
             if keep_grams:
-                yield pa.RecordBatch.from_arrays([batch.column("rep"), flat(bits), as_lists(grams, offsets)], ["rep", "sig", "grams"])
+                yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("salt"), flat(bits), as_lists(grams, offsets)], ["rep", "salt", "sig", "grams"])
             else:
                 yield pa.RecordBatch.from_arrays([batch.column("rep"), flat(keys)], ["rep", "keys"])
 
-    return classes.select("rep", "salt", "text").mapInArrow(run, "rep bigint, sig array<bigint>, grams array<bigint>" if keep_grams else "rep bigint, keys array<bigint>")
+    return classes.select("rep", "salt", "text").mapInArrow(run, "rep bigint, salt bigint, sig array<bigint>, grams array<bigint>" if keep_grams else "rep bigint, keys array<bigint>")
 
 
 def _bucket_pairs(members: DataFrame) -> DataFrame:
@@ -86,12 +86,44 @@ def _labelled(df: DataFrame, groups: DataFrame, column: str) -> DataFrame:
     return df.join(known, column, "left").withColumn(f"g_{column}", F.coalesce("_g", column)).drop("_g")
 
 
-def _grouped(members: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _apart(large: DataFrame, groups: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) that may link members of large buckets which are still in other groups than their buckets' least members.
+
+    Such members share a band with many texts and are similar to few or none, as texts are that have a sentence in common. Banding can't
+    tell them apart, so their shingle sets are joined by ``prefix_keys``, in which shared sentences are no keys as long as they make up
+    less than a match. Keys whose texts are all in one group are dropped first.
+    """
+    known = _labelled(_labelled(large, groups, "rep"), groups, "lo")
+    far = known.where("g_rep <> g_lo")
+    if far.isEmpty():
+        return far.select(F.col("rep").alias("a"), F.col("lo").alias("b"))
+    asked = far.select("rep").distinct().withColumn("asks", F.lit(True))
+    there = known.join(far.select("key").distinct(), "key", "left_semi").select("rep", F.col("g_rep").alias("g")).distinct()
+    sets = cut(texts.join(there, "rep").join(asked, "rep", "left").select("rep", "salt", "g", F.coalesce("asks", F.lit(False)).alias("asks"), "grams"))
+    of_batch = lambda batch: batch.column("grams").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    hot, weight = common_shingles(sets.select("grams"), of_batch)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets = batch.column("grams").offsets.to_numpy()
+            salt = batch.column("salt").to_numpy(zero_copy_only=False)
+            owner, keys = prefix_keys(of_batch(batch), offsets - offsets[0], salt, threshold, hot, weight)
+            at = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *[batch.column(c).take(at) for c in ("rep", "g", "asks")]], ["key", "rep", "g", "asks"])
+
+    keyed = cut(sets.mapInArrow(run, "key bigint, rep bigint, g bigint, asks boolean"))
+    mixed = keyed.groupBy("key").agg(F.min("g").alias("least"), F.max("g").alias("most"), F.max("asks").alias("asked")).where("asked and least <> most").select("key")
+    rows = keyed.join(mixed, "key", "left_semi")
+    x, y = rows.where("asks").select("key", F.col("rep").alias("x"), F.col("g").alias("gx")), rows.select("key", F.col("rep").alias("y"), F.col("g").alias("gy"))
+    return x.join(y, "key").where("gx <> gy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _grouped(members: DataFrame, texts: DataFrame, threshold: float, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, component) of the linked members of (key, n, lo, rep), ``verified`` telling the links among pairs.
 
-    Small buckets give all their pairs. In large ones, where a third of all texts may meet, most members belong to one group, so each is
-    compared with the least member of only one of its buckets at first; then with those of its other buckets that are still in another
-    group; and at last, if it is still apart from a bucket's least member, with all members of that bucket in other groups. A pair of a
+    Small buckets give all their pairs, at most ``PAIRWISE`` a member. In large ones, where a third of all texts may meet, most members
+    belong to one group, so each is compared with the least member of only one of its buckets at first; then with those of its other
+    buckets that are still in another group; and what is still apart from a bucket's least member goes through ``_apart``. A pair of a
     bucket that is never compared is in one group already.
     """
     links = verified(_bucket_pairs(members))
@@ -105,11 +137,7 @@ def _grouped(members: DataFrame, verified: Callable[[DataFrame], DataFrame]) ->
     if not more.isEmpty():
         links = links.union(more)
         groups = cut(connected_components(links))
-    known = _labelled(_labelled(large.where("rep <> lo"), groups, "rep"), groups, "lo")
-    apart = known.where("g_rep <> g_lo").select("key", F.col("rep").alias("x"), F.col("g_rep").alias("g_x"))
-    others = _labelled(large.select("key", F.col("rep").alias("y")), groups, "y")
-    pairs = apart.join(others, "key").where("g_x <> g_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = verified(pairs)
+    more = verified(_apart(large, groups, texts, threshold))
     return groups if more.isEmpty() else connected_components(links.union(more))
 
 
@@ -134,7 +162,8 @@ def near_duplicates(
     Method: equal texts become one class before anything else, so a text that fills a third of the rows counts once. Classes get a
     signature of ``bands`` × ``rows`` universal-hash minima (by default from ``banding``); classes sharing a band are candidates; their
     signatures and then their exact shingle sets are compared; links become groups by large-star and small-star. Buckets of more than
-    ``PAIRWISE`` different texts are compared by way of their least members, see ``_grouped``, without losing a link between groups.
+    ``PAIRWISE`` different texts are compared by way of their least members and by an exact set join, see ``_grouped``, without losing a
+    link between groups.
 
     Null, blank and short texts (fewer than ``shingle`` words) are similar to nothing: class and cluster are their own id. Rows with a
     null id are left out, since no result could name them. Ids must be unique. Empty tables give an empty result; other columns of
@@ -157,7 +186,7 @@ def near_duplicates(
     involved = members.select("rep").distinct()
     known = classes.join(involved, "rep", "left_semi")
     texts = cut(signatures(known, shingle, bands, rows, keep_grams=True))
-    groups = _grouped(members, lambda pairs: cut(_verified(pairs, texts, threshold, bands * rows)))
+    groups = _grouped(members, texts, threshold, lambda pairs: cut(_verified(pairs, texts, threshold, bands * rows)))
     labelled = classes.select("digest", "rep", "copies").join(groups, F.col("rep") == F.col("node"), "left").select("digest", "rep", "copies", F.coalesce("component", "rep").alias("cluster"))
     of_class = F.coalesce("rep", "id").alias("text_class"), F.coalesce("cluster", "id").alias("cluster"), F.coalesce("copies", F.lit(1).cast("bigint")).alias("copies")
     return base.select("id", "digest").join(labelled, "digest", "left").select("id", *of_class)

@@ -1,9 +1,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
-from hintloom.llm import minhash
+from hintloom.llm import grams, minhash
 
 
 def shingle_set(text, k):
@@ -97,3 +98,35 @@ def test_third_of_rows_in_one_group(spark):
     rows = list(enumerate(hot + cold))
     got = run(spark, rows, shingle=3, threshold=0.5)
     assert {i: r.cluster for i, r in got.items()} == brute(rows, 3, 0.5)
+
+
+def test_texts_that_share_a_sentence_are_not_paired(spark, monkeypatch):
+    """1,500 texts share 50 of 110 words and are not similar; the pairs that are verified are few for each, not all of a bucket."""
+    rnd = random.Random(11)
+    shared = " ".join(f"s{i}" for i in range(50))
+    texts = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(30)) + f" {shared} " + " ".join(f"w{rnd.randrange(10**6)}" for _ in range(30)) for _ in range(1500)]
+    texts += [texts[3] + " more words", texts[7].replace("s20", "other")]
+    seen = []
+    real = minhash._verified
+    monkeypatch.setattr(minhash, "_verified", lambda pairs, *a: (seen.append(pairs.count()), real(pairs, *a))[1])
+    got = run(spark, list(enumerate(texts)), shingle=3, threshold=0.5)
+    assert {i: r.cluster for i, r in got.items() if r.cluster != i} == {1500: 3, 1501: 7}
+    # By far most are the pairs of small buckets and of least members; all pairs would be 1.1 million.
+    assert sum(seen) < 60 * len(texts), seen
+    assert seen[-1] <= len(texts), seen
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_prefix_keys_miss_no_pair(threshold):
+    rnd = random.Random(3)
+    pool = [rnd.randrange(2**63) for _ in range(120)]
+    sets = [sorted(set(rnd.sample(pool[: rnd.choice([12, 120])], rnd.randrange(1, 12))) | set(pool[:5] if rnd.random() < 0.5 else [])) for _ in range(300)]
+    flat, offsets = np.array([g for s in sets for g in s], np.uint64), np.cumsum([0, *map(len, sets)])
+    hot = np.array(sorted(pool[:5]), np.uint64)
+    owner, keys = grams.prefix_keys(flat, offsets, np.zeros(len(sets), np.int64), threshold, hot, np.arange(5) + 2)
+    held = [set(keys[owner == i].tolist()) for i in range(len(sets))]
+    for i, a in enumerate(map(set, sets)):
+        for j in range(i):
+            b = set(sets[j])
+            if len(a & b) / len(a | b) >= threshold:
+                assert held[i] & held[j], (a, b)

@@ -25,8 +25,8 @@ def _hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return known[coded.indices.to_numpy()], split.offsets.to_numpy() - split.offsets[0].as_py()
 
 
-def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of a batch of texts of at least ``k`` words, sorted per text, and their offsets."""
+def _runs(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``k`` words of a batch, text by text in order, and the text that each belongs to."""
     hashed, offsets = _hashed_words(texts)
     total = np.zeros(max(len(hashed) - k + 1, 0), np.uint64)
     for j in range(k):
@@ -34,7 +34,18 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
         total ^= total >> np.uint64(29)
     owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
     inside = owner[: len(total)] == owner[k - 1 :]
-    owner, total = owner[: len(total)][inside], total[inside]
+    return total[inside], owner[: len(total)][inside]
+
+
+def shingle_runs(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``k`` words of a batch in their order, and their offsets; none for shorter texts."""
+    total, owner = _runs(texts, k)
+    return total, np.searchsorted(owner, np.arange(len(texts) + 1))
+
+
+def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of a batch of texts of at least ``k`` words, sorted per text, and their offsets."""
+    total, owner = _runs(texts, k)
     order = np.lexsort((total, owner))
     owner, total = owner[order], total[order]
     fresh = np.ones(len(total), bool)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,17 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hintloom.functions.words import at_least, shingles, words
-from hintloom.llm.grams import as_lists, shingle_sets
+from hintloom.llm.grams import as_lists, common_shingles, rare_first, shingle_runs, shingle_sets
 from hintloom.lineage import cut
 
-#: Shingle length in words; the similarity that the bounds below are derived for.
-SHINGLE = 3
-#: Share of the training texts from which a run of words counts as common, and how many such runs are kept at most: 1 MB.
-COMMON, MOST_COMMON = 0.002, 50_000
+#: Shingle length in words; words of a segment.
+SHINGLE, SEGMENT = 3, 8
 #: 64-bit words of the sketch of a text's shingles.
 SKETCH = 4
-#: Largest number of edits that the banded comparison follows; beyond it the shingle sets decide.
-MOST_EDITS = 48
 
 
 def origin_key(key: Column) -> Column:
@@ -41,82 +37,142 @@ def _sketch(side: str) -> list[str]:
     return [f"{side}{i}" for i in range(SKETCH)]
 
 
-def common_runs(texts: DataFrame, share: float = COMMON) -> dict[int, int]:
-    """Hashes of the runs of words in at least about ``share`` of the texts, with how often they were counted.
-
-    Every text is counted; a batch passes on what is common in it, so at most ``2 / share`` times the runs of a text reach the driver
-    from a batch before the sums, and as many again after. The join is exact whatever this finds: it only sets the order of the runs.
-    """
+def _numbered(texts: DataFrame, fields: str, of_batch: Callable[[np.ndarray, np.ndarray], list]) -> DataFrame:
+    """``of_batch`` over the distinct shingles of a batch of (cid, text) and their offsets; it gives the columns of ``fields`` after ``cid``."""
+    names = [f.split()[0] for f in fields.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams, counts = np.unique(shingle_sets(batch.column("text"), SHINGLE)[0], return_counts=True) if batch.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            kept = counts >= max(2, batch.num_rows * share / 2)
-            yield pa.RecordBatch.from_arrays([pa.array(grams[kept].view(np.int64)), pa.array(counts[kept])], ["gram", "n"])
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column("cid"), *of_batch(*shingle_sets(batch.column("text"), SHINGLE))], ["cid", *names])
+
+    return texts.select("cid", "text").mapInArrow(run, f"cid bigint, {fields}")
+
 
-    total = texts.count()
-    sums = texts.select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, total * share))
-    return {r.gram % 2**64: r.n for r in sums.orderBy(F.desc("n")).limit(MOST_COMMON).collect()}
+def _edits_allowed(n: np.ndarray, threshold: float) -> np.ndarray:
+    """How many edits of words leave a text of ``n`` distinct shingles similar: each takes away three of them and puts in three at most."""
+    return np.floor(n * (1 - threshold) / (3 * (1 + threshold)) + 1e-9).astype(np.int64)
 
 
-def pieces(texts: DataFrame, threshold: float, common: dict[int, int]) -> DataFrame:
-    """(cid, n, s0 … s3, seg) of (cid, text): the pieces of each text that suffice to meet every similar text, its shingles and a sketch of them.
+def segments(texts: DataFrame, threshold: float, hot: np.ndarray, weight: np.ndarray) -> DataFrame:
+    """(cid, edits, words, at, segment) of (cid, text): k + 1 disjoint segments of each text, k being the edits that leave it similar, as far as segments have room.
 
-    A text can be cut into pieces of three words in three ways; together these are its n shingles. A text of similarity t shares at least
-    t * n of them, so k = n - ceil(t * n) may be lost to edits and any k + 1 hold a shared one. Both sides take their k + 1 first ones in
-    one order, rare before common, so the first shared piece of a pair is among those of either.
+    A text within k edits keeps one of them, moved by k words at most. The words are divided into k + 1 equal parts, and of each part the
+    run of ``SEGMENT`` words of which the fewest shingles are common is its segment.
     """
-    hot = np.array(sorted(common), np.uint64)
-    weight = np.array([common[int(g)] for g in hot], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            grams, offsets = shingle_sets(batch.column("text"), SHINGLE)
-            n = np.diff(offsets)
+            rows = []
+            runs, starts = shingle_runs(batch.column("text"), SEGMENT)
+            k = np.minimum(_edits_allowed(np.diff(shingle_sets(batch.column("text"), SHINGLE)[1]), threshold), (np.diff(starts) + SEGMENT - 1) // SEGMENT - 1) if batch.num_rows else []
+            three, threes = shingle_runs(batch.column("text"), SHINGLE)
+            at = np.minimum(np.searchsorted(hot, three), max(len(hot) - 1, 0))
+            heavy = np.where(hot[at] == three, weight[at], 0) if len(hot) else np.zeros(len(three), np.int64)
+            heavy = np.concatenate([[0], np.cumsum(heavy > 0)])
+            heavy = heavy[SEGMENT - SHINGLE + 1 :] - heavy[: -(SEGMENT - SHINGLE + 1)] if len(heavy) > SEGMENT - SHINGLE + 1 else heavy[:0]
+            for i, edits in enumerate(k):
+                n_runs = int(starts[i + 1] - starts[i])
+                if not n_runs:
+                    continue
+                n_words = n_runs + SEGMENT - 1
+                bounds = np.arange(edits + 2) * n_words // (edits + 1)
+                for lo, hi in zip(bounds[:-1], bounds[1:] - SEGMENT + 1):
+                    best = int(lo + np.argmin(heavy[threes[i] + lo : threes[i] + hi]))
+                    rows.append((i, int(edits), n_words, best, int(runs[starts[i] + best].view(np.int64))))
+            columns = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column("cid").take(pa.array(columns[0], pa.int64())), *[pa.array(c, t) for c, t in zip(columns[1:], (pa.int32(), pa.int32(), pa.int32(), pa.int64()))]], ["cid", "edits", "words", "at", "segment"])
+
+    return texts.select("cid", "text").mapInArrow(run, "cid bigint, edits int, words int, at int, segment bigint")
+
+
+def substrings(texts: DataFrame) -> DataFrame:
+    """(cid, words, at, segment) of (cid, text): every run of ``SEGMENT`` words with its position."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs, starts = shingle_runs(batch.column("text"), SEGMENT)
+            n = np.diff(starts)
             owner = np.repeat(np.arange(batch.num_rows), n)
-            heavy = np.zeros(len(grams), np.int64)
-            if len(hot):
-                at = np.minimum(np.searchsorted(hot, grams), len(hot) - 1)
-                heavy = np.where(hot[at] == grams, weight[at], 0)
-            order = np.lexsort((grams, heavy, owner))
-            place = np.arange(len(grams)) - np.repeat(offsets[:-1], n)
-            need = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
-            kept = order[place < np.repeat(need, n)]
-            bit = (grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)
-            sketch = [np.bitwise_or.reduceat(np.where((bit >> np.uint64(6)) == part, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0)), offsets[:-1]) for part in range(SKETCH)]
-            segs = as_lists(grams[kept], np.concatenate([[0], np.cumsum(np.minimum(need, n))]))
-            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(n.astype(np.int32)), *[pa.array(x.view(np.int64)) for x in sketch], segs], ["cid", "n", *_sketch("s"), "segs"])
-
-    made = texts.select("cid", "text").mapInArrow(run, f"cid bigint, n int, {', '.join(f'{c} bigint' for c in _sketch('s'))}, segs array<bigint>")
-    return made.select("cid", "n", *_sketch("s"), F.explode("segs").alias("seg"))
+            at = np.arange(len(runs)) - np.repeat(starts[:-1], n)
+            yield pa.RecordBatch.from_arrays([batch.column("cid").take(pa.array(owner)), pa.array((n[owner] + SEGMENT - 1).astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(runs.view(np.int64))], ["cid", "words", "at", "segment"])
+
+    return texts.select("cid", "text").mapInArrow(run, "cid bigint, words int, at int, segment bigint")
+
+
+def pieces(texts: DataFrame, threshold: float, hot: np.ndarray, weight: np.ndarray) -> DataFrame:
+    """(cid, n, s0 … s3, segs) of (cid, text): the shingles of each text that suffice to meet every similar text, their number and a sketch of all.
+
+    A text of n shingles and similarity t to another shares at least t * n of them, so k = n - ceil(t * n) may be lost and any k + 1 hold
+    a shared one. Both sides take their k + 1 first ones in one order, rare before common, so the first shared one is among those of either.
+    """
+
+    def of_batch(grams: np.ndarray, offsets: np.ndarray) -> list:
+        n = np.diff(offsets)
+        order = rare_first(grams, np.repeat(np.arange(len(n)), n), hot, weight)
+        need = np.minimum(n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1, n)
+        kept = order[np.arange(len(grams)) - np.repeat(offsets[:-1], n) < np.repeat(need, n)]
+        bit = (grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)
+        sketch = [np.bitwise_or.reduceat(np.where((bit >> np.uint64(6)) == part, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0)), offsets[:-1]) for part in range(SKETCH)]
+        return [pa.array(n.astype(np.int32)), *[pa.array(x.view(np.int64)) for x in sketch], as_lists(grams[kept], np.concatenate([[0], np.cumsum(need)]))]
+
+    return _numbered(texts, f"n int, {', '.join(f'{c} bigint' for c in _sketch('s'))}, segs array<bigint>", of_batch)
+
+
+def _side(described: DataFrame, side: str, *more: Column) -> DataFrame:
+    """``pieces`` of one side under names of its own: the id, n and the sketch, with ``more``."""
+    return described.select(F.col("cid").alias(f"{side}_id"), F.col("n").alias(f"n{side[0]}"), *[F.col(s).alias(t) for s, t in zip(_sketch("s"), _sketch(side[0]))], *more)
+
+
+def _may(threshold: float) -> Column:
+    """Whether sizes and sketches of two sides leave a similarity of ``threshold`` possible: shingles with different bits aren't shared."""
+    differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(_sketch("l"), _sketch("r"))), F.lit(0))
+    total = F.col("nl") + F.col("nr")
+    return ((total - differ) / 2 >= total * (threshold / (1 + threshold)) - 1e-9) & (F.least("nl", "nr") >= F.greatest("nl", "nr") * threshold)
+
+
+def within_edits(left: DataFrame, right: DataFrame, described: tuple[DataFrame, DataFrame], threshold: float, hot: np.ndarray, weight: np.ndarray) -> DataFrame:
+    """(left_id, right_id, edits) of the pairs within the edits of words that leave a text similar: the segment join.
+
+    The left texts (evaluation) are cut into segments; the right ones (training) are matched by their substrings at the positions that
+    the edits allow; sketches (``described``) drop chance matches; banded dynamic programming counts the edits. Words are coded as single characters for it, and a code may stand for
+    several words, so a count can be too low: it only rejects pairs, and the shingle sets confirm those that pass.
+    """
+    l = segments(left, threshold, hot, weight).select(F.col("cid").alias("left_id"), "edits", F.col("words").alias("wl"), F.col("at").alias("al"), "segment")
+    r = substrings(right).select(F.col("cid").alias("right_id"), F.col("words").alias("wr"), F.col("at").alias("ar"), "segment")
+    allowed = (F.abs(F.col("al") - F.col("ar")) <= F.col("edits")) & (F.abs(F.col("wl") - F.col("wr")) <= F.col("edits"))
+    met = l.join(r, "segment").where(allowed).select("left_id", "right_id", F.col("edits").alias("k")).distinct()
+    may = met.join(_side(described[0], "left"), "left_id").join(_side(described[1], "right"), "right_id").where(_may(threshold)).select("left_id", "right_id", "k")
+    both = _with_texts(may, left, right)
+    coded = both.withColumns({"cl": _coded(F.col("tl")), "cr": _coded(F.col("tr"))}).withColumn("edits", F.expr("levenshtein(cl, cr, k)"))
+    return coded.where((F.col("edits") >= 0) & _similar(threshold)).select("left_id", "right_id", "edits")
+
+
+def _with_texts(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    tl, tr = left.select(F.col("cid").alias("left_id"), F.col("text").alias("tl")), right.select(F.col("cid").alias("right_id"), F.col("text").alias("tr"))
+    return pairs.join(tl, "left_id").join(tr, "right_id")
+
+
+def _similar(threshold: float) -> Column:
+    return at_least(*[shingles(F.split(t, " "), SHINGLE) for t in ("tl", "tr")], threshold)
 
 
 def similar_across(left: DataFrame, right: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Pairs (left_id, right_id, edits) of texts of two sets of (cid bigint, text) whose shingle similarity is at least ``threshold``.
 
     ``cid`` must be unique in each set and ``text`` words joined by blanks; texts of fewer than three words are similar to nothing. The
-    left texts (evaluation) are cut into pieces, the right ones (training) are matched by their substrings of that length, see
-    ``pieces``. Since moved sentences keep the similarity, every position is allowed. A sketch of 256 bits bounds what a matched pair can
-    share and drops most chance matches inside the join. Banded dynamic programming over words counts the edits of the rest: up to a
-    ninth of the shingles they prove a similarity of 0.5, beyond that the shingle sets decide exactly. ``edits`` is -1 outside the band.
+    segment join of ``within_edits`` finds the pairs of few edits. The stated similarity is one of shingle sets, though, which moving a
+    sentence hardly changes while it takes many edits; so texts are also joined by their rarest ``pieces`` at any position. A sketch of
+    256 bits bounds what a matched pair can share and drops most chance matches inside the join; the shingle sets decide, for pairs that
+    the segment join hasn't found. ``edits`` is -1 for these.
     """
     left, right = (df.select("cid", "text").where(F.size(F.split("text", " ")) >= SHINGLE) for df in (left, right))
-    common = common_runs(right)
-    l, r = (pieces(df, threshold, common).select(F.col("cid").alias(f"{side}_id"), F.col("n").alias(f"n{side[0]}"), *[F.col(s).alias(t) for s, t in zip(_sketch("s"), _sketch(side[0]))], "seg") for df, side in ((left, "left"), (right, "right")))
-    differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(_sketch("l"), _sketch("r"))), F.lit(0))
-    total = F.col("nl") + F.col("nr")
-    may = ((total - differ) / 2 >= total * (threshold / (1 + threshold)) - 1e-9) & (F.least("nl", "nr") >= F.greatest("nl", "nr") * threshold)
-    candidates = l.join(r, "seg").where(may).select("left_id", "right_id", "nl", "nr").distinct()
-    texts = [df.select(F.col("cid").alias(i), F.col("text").alias(t)) for df, i, t in ((left, "left_id", "tl"), (right, "right_id", "tr"))]
-    both = candidates.join(texts[0], "left_id").join(texts[1], "right_id")
-    both = both.withColumns({"cl": _coded(F.col("tl")), "cr": _coded(F.col("tr"))})
-    near = F.abs(F.length("cl") - F.length("cr")) <= F.greatest("nl", "nr") / 9
-    both = both.withColumn("edits", F.when(near, F.expr(f"levenshtein(cl, cr, {MOST_EDITS})")).otherwise(F.lit(-1)))
-    sure = (F.col("edits") >= 0) & (F.col("edits") <= F.least("nl", "nr") / 9) & F.lit(threshold <= 0.5)
-    sets = [shingles(F.split(t, " "), SHINGLE) for t in ("tl", "tr")]
-    return both.where(sure | at_least(*sets, threshold)).select("left_id", "right_id", "edits")
+    hot, weight = common_shingles(right.select("text"), lambda batch: shingle_sets(batch.column("text"), SHINGLE)[0])
+    described = tuple(cut(pieces(df, threshold, hot, weight)) for df in (left, right))
+    near = cut(within_edits(left, right, described, threshold, hot, weight))
+    l, r = (_side(df, side, F.explode("segs").alias("seg")) for df, side in zip(described, ("left", "right")))
+    rest = l.join(r, "seg").where(_may(threshold)).select("left_id", "right_id").distinct().join(near, ["left_id", "right_id"], "left_anti")
+    return near.union(_with_texts(rest, left, right).where(_similar(threshold)).select("left_id", "right_id", F.lit(-1).alias("edits")))
 
 
 def split_overlaps(df: DataFrame, id_col: str, key_col: str, text_col: str, split_col: str, train: str = "train", evaluation: tuple[str, ...] = ("holdout", "valid"), threshold: float = 0.5, source_col: str | None = None) -> dict[str, DataFrame]:

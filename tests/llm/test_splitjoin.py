@@ -91,6 +91,8 @@ def test_edits_are_counted_in_words(spark):
     base = " ".join(f"w{i}" for i in range(40))
     got = splitjoin.similar_across(make(base), make(base.replace("w7 ", "other ").replace("w30 ", ""))).collect()
     assert [r.edits for r in got] == [2]
+    moved = " ".join(base.split()[25:] + base.split()[:25])
+    assert [r.edits for r in splitjoin.similar_across(make(base), make(moved)).collect()] == [-1]
 
 
 def test_origin_key(spark):
@@ -112,3 +114,31 @@ def test_rows_are_counted_per_split_and_source(spark):
     df = spark.createDataFrame(rows, "line_no bigint, k string, q string, s string, src string")
     got = splitjoin.overlap_rates(splitjoin.split_overlaps(df, "line_no", "k", "q", "s", source_col="src")).collect()
     assert {tuple(r) for r in got} == {("valid", "a", 1, 1, 0, 1), ("holdout", "a", 3, 1, 2, 2), ("valid", None, 1, 0, 0, 0)}
+
+
+def test_segment_join_equals_edit_distance(spark):
+    """Every pair within the allowed edits is found by the segments, whatever is edited; nothing beyond them is."""
+    rnd = random.Random(12)
+    pairs = []
+    for _ in range(80):
+        base = [f"w{rnd.randrange(400)}" for _ in range(rnd.choice([5, 9, 14, 30, 70]))]
+        pairs.append((base, edited(rnd, base, rnd.randrange(1 + len(base) // 8)).split()))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            above, row = row, [i + 1]
+            for j, y in enumerate(b):
+                row.append(min(above[j] + (x != y), above[j + 1] + 1, row[j] + 1))
+        return row[-1]
+
+    make = lambda side: spark.createDataFrame([(i, " ".join(p[side])) for i, p in enumerate(pairs)], "cid bigint, text string")
+    none = splitjoin.np.zeros(0, splitjoin.np.uint64), splitjoin.np.zeros(0, splitjoin.np.int64)
+    described = splitjoin.pieces(make(0), 0.5, *none), splitjoin.pieces(make(1), 0.5, *none)
+    found = {r.left_id: r.edits for r in splitjoin.within_edits(make(0), make(1), described, 0.5, *none).collect() if r.left_id == r.right_id}
+    want = {}
+    for i, (a, b) in enumerate(pairs):
+        x, y = grams(" ".join(a)), grams(" ".join(b))
+        if (d := distance(a, b)) <= min(len(x) // 9, len(a) // splitjoin.SEGMENT - 1) and len(b) >= splitjoin.SEGMENT and len(x & y) >= 0.5 * len(x | y):
+            want[i] = d
+    assert found == want and len(want) > 20

@@ -20,11 +20,10 @@ JUNK = ("noise", "menu", "salad")
 
 LINE = re.compile(r"\r\n|\r|\n")
 WORD = re.compile(r"[^\W_]+")
-SENTENCE_END = re.compile(r"[.!?…。！？:;][\"'”’»›)\]}*_]*\Z")
-SENTENCE = re.compile(r"[^.!?。！？]+[.!?。！？]+")
+STOPS, CLOSERS = ".!?…。！？:;", "\"'”’»›)]}*_"
+STOP = re.compile(r"[.!?。！？]+")
 PARAGRAPH = re.compile(r"\n\s*\n|\r\s*\r|\r\n\s*\r\n")
 TOKEN = re.compile(r"[^\s,;|]{24,}")
-SPOKEN = re.compile(r"(?<!\S)[^\s|+-]\S*")
 QUOTE = re.compile(r"(?m)^[ \t]*(?:>[ \t]?)+")
 BULLET = re.compile(r"(?:[-*+•·‣▪◦–—]|\[[ xX✓-]?\]|\(?\d{1,3}[.)\]:]|\(?[a-zA-Z][.)])\s+")
 PAIR = re.compile(r"[^:]{1,32}:\s")
@@ -32,12 +31,56 @@ SEPARATORS = (("|", re.compile(r"\s*\|\s*")), ("\t", re.compile(r"\t")), ("  ",
 RULE_LINE = re.compile(r"[\s|+:=_-]+")
 VOWEL = re.compile(r"[aeiouyäöüáéíóúàèìòùâêîôûœæ\u2e80-\uffff]")
 
+#: Different words whose traits a task keeps at once; then it begins anew.
+WORDS_KEPT = 200_000
+
 STATISTICS = (
     "n_chars", "n_words", "mean_word_length", "symbol_ratio", "digit_ratio", "upper_ratio", "n_lines", "median_line_words", "punctuated_lines", "short_lines", "entry_lines",
     "cell_lines", "common_words", "richness", "top_word", "vowel_words", "mixed_words", "long_tokens", "sentence_lines", "sentence_words",
 )
 
 
+class Traits(dict):
+    """What a word is, as bits: 1 letters only, 2 letters and digits mixed, 4 letters with a vowel, 8 common."""
+
+    def __init__(self, common: frozenset[str]):
+        super().__init__()
+        self.common = common
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        alpha = word.isalpha()
+        bits = self[word] = alpha | (not alpha and not word.isdigit()) << 1 | (alpha and VOWEL.search(word) is not None) << 2 | (word in self.common) << 3
+        return bits
+
+
+class Letters(dict):
+    """The kind of a character: 0 blank, 1 letter, 2 capital, 3 digit, 4 other number, 5 symbol, 6 a sign that draws tables."""
+
+    def __missing__(self, c: str) -> int:
+        kind = self[c] = 0 if c.isspace() else (2 if c.isupper() else 1) if c.isalpha() else 3 if c.isdigit() else 4 if c.isalnum() else 6 if c in "|+-" else 5
+        return kind
+
+
+LETTERS = Letters()
+
+
+def spoken(line: str) -> int:
+    """The blank-separated pieces of a line that don't begin with a sign that draws tables."""
+    pieces = line.split()
+    return len(pieces) - (sum(x[0] in "|+-" for x in pieces) if "|" in line or "-" in line or "+" in line else 0)
+
+
+def sentences(text: str) -> Iterator[tuple[int, int]]:
+    """Where the runs that stop signs end begin and end, signs included; what follows the last sign is none."""
+    last = 0
+    for m in STOP.finditer(text):
+        if m.start() > last:
+            yield last, m.end()
+        last = m.end()
+
+
 def cell_lines(lines: list[str], n_words: int) -> float:
     """Share of the lines that are rows of several cells: of the best separator, the rows that have the usual number of cells, two at least."""
     best = 0.0
@@ -74,48 +117,52 @@ def readable(span: str, common: frozenset[str]) -> int:
     return len(words)
 
 
-def statistics(text: str | None, common: frozenset[str]) -> dict[str, float]:
+def statistics(text: str | None, traits: Traits) -> dict[str, float]:
     """The statistics of one document, over its whole text; all zero for a null or blank one.
 
     Marks of quotation before lines don't count, nor do lines of rules only. ``richness`` is the number of different words by the root
     of the number of words, 9 for fewer than twelve words. Shares of lines are over lines that aren't blank.
     """
-    text = QUOTE.sub("", text or "")
+    text = QUOTE.sub("", text or "") if ">" in (text or "") else text or ""
     out = dict.fromkeys(STATISTICS, 0.0)
     out["n_chars"], out["richness"] = float(len(text)), 9.0
-    characters = Counter(text)
-    solid = sum(n for c, n in characters.items() if not c.isspace())
+    kinds = [0] * 7
+    upper = 0
+    for c, k in Counter(text).items():
+        kinds[LETTERS[c]] += k
+        if c.isupper():
+            upper += k
+    solid = len(text) - kinds[0]
     if not solid:
         return out
-    every = LINE.split(text)
-    lines = [x for x in map(str.strip, every) if x and not RULE_LINE.fullmatch(x)]
+    lines = [x for x in map(str.strip, LINE.split(text)) if x and not RULE_LINE.fullmatch(x)]
     rows = max(len(lines), 1)
     words = WORD.findall(text.lower())
     n = len(words)
-    in_line = [len(SPOKEN.findall(x)) for x in lines] or [0]
-    letters = sum(k for c, k in characters.items() if c.isalpha())
+    in_line = [spoken(x) for x in lines] or [0]
     out |= {
-        "n_words": float(n), "symbol_ratio": sum(k for c, k in characters.items() if not c.isalnum() and not c.isspace() and c not in "|+-") / solid, "digit_ratio": sum(k for c, k in characters.items() if c.isdigit()) / solid,
-        "upper_ratio": sum(k for c, k in characters.items() if c.isupper()) / max(letters, 1), "n_lines": float(len(lines)), "median_line_words": float(median(in_line)),
-        "punctuated_lines": sum(bool(SENTENCE_END.search(x, max(0, len(x) - 12))) for x in lines) / rows, "short_lines": sum(k <= 8 and x[-1] not in ".!?。" for x, k in zip(lines, in_line)) / rows,
-        "entry_lines": sum(k <= 10 and bool(BULLET.match(x) or PAIR.match(x)) for x, k in zip(lines, in_line)) / rows,
+        "n_words": float(n), "symbol_ratio": kinds[5] / solid, "digit_ratio": kinds[3] / solid, "upper_ratio": upper / max(kinds[1] + kinds[2], 1), "n_lines": float(len(lines)),
+        "median_line_words": float(median(in_line)), "punctuated_lines": sum(x.rstrip(CLOSERS)[-1:] in STOPS and x.rstrip(CLOSERS) != "" for x in lines) / rows,
+        "short_lines": sum(k <= 8 and x[-1] not in ".!?。" for x, k in zip(lines, in_line)) / rows, "entry_lines": sum(k <= 10 and bool(BULLET.match(x) or PAIR.match(x)) for x, k in zip(lines, in_line)) / rows,
         "cell_lines": cell_lines(lines, n), "long_tokens": sum(map(len, TOKEN.findall(text))) / solid,
     }
     if n:
         counts = Counter(words)
-        alphabetic = [w for w in words if w.isalpha()]
+        of_kind = Counter(map(traits.__getitem__, words))
+        having = lambda bit: sum(k for bits, k in of_kind.items() if bits & bit)
         covered, good, row, at = set(), 0, 0, 0
-        for m in SENTENCE.finditer(text):
-            start = m.start() + len(m.group()) - len(m.group().lstrip())
+        for start, end in sentences(text):
+            span = text[start:end]
+            start += len(span) - len(span.lstrip())
             row += text.count("\n", at, start)
             at = start
-            if k := readable(m.group(), common):
+            if k := readable(span, traits.common):
                 good += k
-                covered.update(range(row, row + text.count("\n", start, m.end()) + 1))
+                covered.update(range(row, row + text.count("\n", start, end) + 1))
         filled = [i for i, x in enumerate(text.split("\n")) if x.strip()]
         out |= {
-            "mean_word_length": sum(map(len, words)) / n, "common_words": sum(map(common.__contains__, words)) / n, "richness": len(counts) / n**0.5 if n >= 12 else 9.0, "top_word": max(counts.values()) / n,
-            "mixed_words": sum(not w.isalpha() and not w.isdigit() for w in words) / n, "vowel_words": sum(bool(VOWEL.search(w)) for w in alphabetic) / max(len(alphabetic), 1), "sentence_words": good / n, "sentence_lines": sum(i in covered for i in filled) / max(len(filled), 1),
+            "mean_word_length": sum(map(len, words)) / n, "common_words": having(8) / n, "richness": len(counts) / n**0.5 if n >= 12 else 9.0, "top_word": max(counts.values()) / n,
+            "mixed_words": having(2) / n, "vowel_words": having(4) / max(having(1), 1), "sentence_words": good / n, "sentence_lines": sum(i in covered for i in filled) / max(len(filled), 1),
         }
     return out
 
@@ -193,8 +240,9 @@ def document_statistics(df: DataFrame, id_col: str, text_col: str, common: froze
     """(id, statistics…, votes): one row per document, over whole texts, in one pass and without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        traits = Traits(common)
         for batch in batches:
-            rows = [statistics(t, common) for t in batch.column("text").to_pylist()]
+            rows = [statistics(t, traits) for t in batch.column("text").to_pylist()]
             columns = [pa.array([r[k] for r in rows], pa.float64()) for k in STATISTICS]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *columns, pa.array([votes(r) for r in rows], pa.int64())], ["id", *STATISTICS, "votes"])
 

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hintloom.lineage import cut
+
 WORD = re.compile(r"[^\W_]+")
 #: Words per block of the shift table.
 BLOCK = 2
@@ -63,7 +65,8 @@ def leaked(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_
     """(doc_id, item_id), once each: the documents that hold ``length`` consecutive words of an item.
 
     The documents are read once and never shuffled. The items are a held-out set; their size is checked, and they are sent to the tasks
-    in blocks of about ``CHARS_AT_ONCE``, so a larger set costs more passes and not more memory. Null, blank and shorter texts on either
+    in blocks of about ``CHARS_AT_ONCE``: a larger set costs more passes and not more memory, since a block's result is written before
+    the next block is made. Null, blank and shorter texts on either
     side match nothing; null ids are kept as they are; repeated documents each have their rows; other columns are ignored.
     """
     size = items.agg(F.sum(F.length(F.col(item_text)))).first()[0] or 0
@@ -83,5 +86,8 @@ def leaked(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array([i for i, _ in rows], pa.int64())), pa.array([x for _, x in rows], pa.string())], ["doc_id", "item_id"])
 
         found = ids.mapInArrow(run, schema)
+        if blocks > 1:
+            found = cut(found)
+            patterns.destroy()
         out = found if out is None else out.union(found)
     return out

@@ -17,7 +17,7 @@ def run(spark, docs, containers=CONTAINERS):
 
 
 def tokens(text):
-    return len(packing._encoding(VOCABULARY).encode_ordinary(text or ""))
+    return len(packing._encoding(open(VOCABULARY, "rb").read()).encode_ordinary(text or ""))
 
 
 def check(docs, rows, containers=CONTAINERS):
@@ -87,3 +87,29 @@ def test_reopened_items_are_packed_by_their_neighbours():
     frame = pd.DataFrame([("k", i, 0, n, t) for i, n, t in items], columns=["container_kind", "id", "chunk", "n_tokens", "text"])
     got = packing._pack(frame, [("k", 100)], "g0", False)
     assert sorted(sorted(ids) for ids in got.groupby("container")["id"].apply(list)) == [[1, 3], [2]]
+
+
+def test_repeated_ids_of_divided_documents_keep_their_containers(spark):
+    rows = run(spark, [(5, "word " * 300), (5, "other " * 300), (5, "a b c")]).collect()
+    for kind, capacity in CONTAINERS:
+        boxes = {}
+        for r in rows:
+            if r.container_kind == kind:
+                boxes.setdefault(r.container, []).append(r)
+        assert all(sum(r.n_tokens for r in box) == box[0].used <= capacity for box in boxes.values())
+
+
+def test_like_documents_share_shards_of_bounded_size(spark, monkeypatch):
+    """Documents of a few themes fall into shards by theme; one that is repeated for a third of the rows fills several shards and no single task."""
+    monkeypatch.setattr(packing, "SHARD", 50)
+    themes = ["quarks hadrons leptons bosons", "violins cellos trumpets clarinets", "glaciers moraines fjords icebergs"]
+    docs = [(i, f"{themes[i % 3]} number{i}") for i in range(300)] + [(1000 + i, "repeated sentences everywhere") for i in range(150)]
+    rows = run(spark, docs).collect()
+    check(docs, rows)
+    boxes = {}
+    for r in rows:
+        if r.container_kind == "large" and r.id < 1000:
+            boxes.setdefault(r.container, []).append(r.id % 3)
+    alike = [b.count(max(set(b), key=b.count)) / len(b) for b in boxes.values()]
+    assert sum(alike) / len(alike) > 0.8  # a third by chance
+    assert len({r.container.split("-")[0] for r in rows if r.id >= 1000 and r.container_kind == "small"}) > 1

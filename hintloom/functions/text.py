@@ -23,6 +23,10 @@ ANSWER_LINES = (r"(?imU)^\s*final\s+answer\s*[:：][^\S\n]*(\S.*?)\s*$", r"(?imU
 DROPPED_IN_ANSWERS = ("$", "\\(", "\\)", "\\[", "\\]", "\\left", "\\right", "`", "*")
 LANGUAGES = {"py": "python", "python": "python", "python3": "python", "cpp": "cpp", "c++": "cpp", "cc": "cpp", "cxx": "cpp", "cplusplus": "cpp"}
 UNSUPPORTED = ("rust", "rs", "java", "javascript", "js", "go", "php", "ruby", "scala", "kotlin", "swift")
+CODE_BLOCK = r"(?is)<code_block>(.*?)</code_block>"
+FOREIGN_SIGN = r"(?i)\buse\s+std::|\bfn\s+\w+\s*\(|for\s+_\s+in\s+\d+\.\."
+CPP_SIGN = r"#include|using namespace std|\bint\s+main\s*\("
+PYTHON_SIGN = r"\A#!/usr/bin/env python|(?m:^\s*def\s+\w+\()"
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -175,13 +179,29 @@ def fences(text: Column) -> Column:
     return F.zip_with(names, codes, block)
 
 
+def code_blocks(text: Column) -> Column:
+    """array<struct(lang, code)> of what ``<code_block>`` tags hold, with the language that its signs tell; foreign code is left out."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(CODE_BLOCK), F.lit(1)), strip)
+    own = F.filter(found, lambda c: (c != "") & ~c.rlike(FOREIGN_SIGN))
+    return F.transform(own, lambda c: F.struct(F.when(c.rlike(CPP_SIGN), "cpp").when(c.rlike(PYTHON_SIGN), "python").alias("lang"), c.alias("code")))
+
+
 def best_code(text: Column) -> Column:
-    """struct(lang, code): the longest fenced block in a supported language, else of no supported one; the whole text without blocks."""
-    kept = F.filter(fences(text), lambda b: ~F.coalesce(b["lang"].isin(*UNSUPPORTED), F.lit(False)) & (strip(b["code"]) != ""))
+    """struct(lang, code): the longest block in a supported language, else of no supported one, fenced blocks before tagged ones on ties.
+
+    Without blocks it is the whole text, stripped, without the tags of code blocks.
+    """
+    kept = F.filter(F.concat(fences(text), code_blocks(text)), lambda b: ~F.coalesce(b["lang"].isin(*UNSUPPORTED), F.lit(False)) & (strip(b["code"]) != ""))
     known = lambda b: F.coalesce(b["lang"].isin("python", "cpp"), F.lit(False))
     ranked = F.transform(kept, lambda b, i: F.struct((F.length(b["code"]) + F.when(known(b), 10_000_000).otherwise(0)).alias("score"), (-i).alias("place"), F.when(known(b), b["lang"]).alias("lang"), b["code"].alias("code")))
     best = F.array_max(ranked)
-    return F.when(F.size(kept) > 0, F.struct(best["lang"].alias("lang"), best["code"].alias("code"))).otherwise(F.struct(F.lit(None).cast("string").alias("lang"), strip(text).alias("code")))
+    whole = F.regexp_replace(strip(text), CODE_BLOCK, "$1")
+    return F.when(F.size(kept) > 0, F.struct(best["lang"].alias("lang"), best["code"].alias("code"))).otherwise(F.struct(F.lit(None).cast("string").alias("lang"), whole.alias("code")))
+
+
+def code_block_error(verdict: Column, detail: Column) -> Column:
+    """Whether a program failed to compile or run and its detail names the tags of a code block; false for nulls."""
+    return F.coalesce(status(verdict).isin("CE", "RE") & F.contains(F.lower(detail), F.lit("code_block")), F.lit(False))
 
 
 def output_text(text: Column) -> Column:

@@ -52,11 +52,16 @@ def verdict_detail(compile_error: Column, detail: Column, error: Column) -> Colu
     return filled(F.concat_ws("\n", *parts))
 
 
+def counted_summary(status: Column, counts: Column, limit: int = 1200) -> Column:
+    """A verdict with the counts (map of status to number) of its case statuses in order of name, shortened."""
+    listed = F.transform(F.array_sort(F.map_entries(counts)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return shorten(F.concat(F.lit("verdict: "), status, F.lit("; cases: "), F.array_join(listed, ", ")), limit)
+
+
 def verdict_summary(status: Column, statuses: Column, limit: int = 1200) -> Column:
-    """A verdict with the counts of its case statuses in order of name, shortened."""
-    names = F.array_sort(F.array_distinct(statuses))
-    counts = F.transform(names, lambda n: F.concat(n, F.lit("="), F.size(F.filter(statuses, lambda s: s == n)).cast("string")))
-    return shorten(F.concat(F.lit("verdict: "), status, F.lit("; cases: "), F.array_join(counts, ", ")), limit)
+    """``counted_summary`` of an array of case statuses."""
+    names = F.array_distinct(statuses)
+    return counted_summary(status, F.map_from_arrays(names, F.transform(names, lambda n: F.size(F.filter(statuses, lambda s: s == n)))), limit)
 
 
 def ordered_statuses(df: DataFrame, status: str, first: tuple[str, ...] = ("AC", "WA", "TLE", "RE", "CE")) -> DataFrame:

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hintloom.functions.text import jaccard
-
 
 def rrf(lists: list[DataFrame], keep: int, k: int = 60) -> DataFrame:
     """(query, doc, score, rank) from lists of (query, doc, rank from 1): reciprocal-rank fusion, six places, the ``keep`` best.
@@ -29,23 +28,37 @@ def candidate_lists(ranked: DataFrame, *extra: str) -> DataFrame:
     return ranked.groupBy("query").agg(F.array_sort(F.collect_list(item)).alias("candidates"))
 
 
-def mmr(candidates: Column, k: int, tokens: str = "tokens", balance: float = 0.7) -> Column:
-    """Greedy diverse choice of ``k`` from an array of structs (rank from 0, …, token array), all inside one row.
+def _diverse(ranks: list[int], tokens: list[list[str]], k: int, balance: float) -> list[int]:
+    """The places that ``mmr`` chooses; each candidate is compared once with each choice."""
+    sets = [frozenset(t) for t in tokens]
+    chosen, left, near = [0], list(range(1, len(sets))), [0.0] * len(sets)
+    while left and len(chosen) < k:
+        last = sets[chosen[-1]]
+        for i in left:
+            common = len(last & sets[i])
+            near[i] = max(near[i], common / (len(last) + len(sets[i]) - common) if common else 0.0)
+        best = max(left, key=lambda i: (round(balance / (ranks[i] + 1) - (1 - balance) * near[i], 9), -i))
+        chosen.append(best)
+        left.remove(best)
+    return chosen
+
+
+def mmr(candidates: Column, k: int | Column, tokens: str = "tokens", balance: float = 0.7) -> Column:
+    """Greedy diverse choice of ``k`` from an array of structs (rank from 0, …, token array), within a row.
 
     The first candidate is taken; then, ``k - 1`` times, the one with the greatest ``balance / (rank + 1) - (1 - balance) * s``, s being
-    its greatest Jaccard similarity with a chosen one, the earliest on ties. Up to ``k`` candidates are returned as they are.
+    its greatest Jaccard similarity with a chosen one, the earliest on ties. Up to ``k`` candidates are returned as they are, null for
+    null. ``k`` may be a column. The steps depend on one another, which higher-order functions can only state by evaluating each anew
+    for every use, so the places are chosen over Arrow batches.
     """
+    most = F.lit(k) if isinstance(k, int) else k
 
-    def step(chosen: Column, _: Column) -> Column:
-        def value(c: Column) -> Column:
-            near = F.array_max(F.transform(chosen, lambda d: jaccard(c[tokens], d[tokens])))
-            return F.round(F.lit(balance) / (c["rank"] + 1) - F.lit(1 - balance) * near, 9)
-
-        left = F.transform(candidates, lambda c, i: F.when(~F.exists(chosen, lambda d: d["rank"] == c["rank"]), F.struct(value(c).alias("value"), (-i).alias("place"))))
-        return F.concat(chosen, F.array(F.element_at(candidates, 1 - F.array_max(left)["place"])))
+    def batch(ranks: pd.Series, sets: pd.Series, ks: pd.Series) -> pd.Series:
+        return pd.Series([_diverse(list(r), list(t), int(n), balance) if r is not None and len(r) else [] for r, t, n in zip(ranks, sets, ks)], dtype=object)
 
-    greedy = F.aggregate(F.sequence(F.lit(1), F.lit(max(k - 1, 1))), F.slice(candidates, 1, 1), step)
-    return F.when(F.size(candidates) <= k, candidates).otherwise(F.slice(candidates, 1, 1) if k <= 1 else greedy)
+    asks = F.size(candidates) > most
+    places = F.pandas_udf(batch, "array<int>")(F.when(asks, candidates["rank"]), F.when(asks, candidates[tokens]), F.coalesce(most, F.lit(1)))
+    return F.when(asks, F.transform(places, lambda i: F.get(candidates, i))).otherwise(candidates)
 
 
 def mix_in(selected: Column, candidates: Column, success: str = "success", least: int = 1, worst_rank: int = 15) -> Column:

@@ -25,6 +25,8 @@ FOREIGN = re.compile(r"\buse\s+std::|\bfn\s+\w+\s*\([^)]*\)\s*->|for\s+_\s+in\s+
 CPP = re.compile(r"#include|using namespace std|\bint\s+main\s*\(")
 PYTHON = re.compile(r"\A#!/usr/bin/env python|^\s*def\s+\w+\(", re.M)
 WEAK = {"python": ((3, r"import "), (2, r"print\("), (2, r"(?m)^\s*if __name__\s*==")), "cpp": ((2, r"std::"), (2, r"bits/stdc\+\+\.h"), (2, r"(?m)^\s*cout\s*<<"))}
+FOREIGN_BLOCK = re.compile(r"\buse\s+std::|\bfn\s+\w+\s*\(|for\s+_\s+in\s+\d+\.\.", re.I)
+TAGGED = re.compile(r"<code_block>(.*?)</code_block>", re.S | re.I)
 FENCE = re.compile(r"```([\w+\-]*)\n(.*?)\n```", re.S)
 NAMES = {"py": "python", "python": "python", "python3": "python", "cpp": "cpp", "c++": "cpp", "cc": "cpp", "cxx": "cpp", "cplusplus": "cpp"}
 FOREIGN_NAMES = frozenset("rust rs java javascript js go php ruby scala kotlin swift".split())
@@ -34,9 +36,16 @@ RESULT = "unique_key string, status string, lang string, passed int, total_tests
 
 
 def pick_code(output: str) -> tuple[str | None, str]:
-    """(language, code): the longest fenced block of a known language, else of none; foreign ones are passed over; the whole text without blocks."""
-    blocks = [(NAMES.get(name.lower()), body.strip("\n")) for name, body in FENCE.findall(output or "") if name.lower() not in FOREIGN_NAMES and body.strip()]
-    return max(blocks, key=lambda b: (b[0] is not None, len(b[1])), default=(None, (output or "").strip()))
+    """(language, code): the longest block of a known language, else of none, fenced ones before those in ``<code_block>`` tags on ties.
+
+    Foreign blocks are passed over. Without blocks it is the whole text without such tags.
+    """
+    text = output or ""
+    blocks = [(NAMES.get(name.lower()), body.strip("\n")) for name, body in FENCE.findall(text) if name.lower() not in FOREIGN_NAMES and body.strip()]
+    for body in map(str.strip, TAGGED.findall(text)):
+        if body and not FOREIGN_BLOCK.search(body):
+            blocks.append(("cpp" if CPP.search(body) else "python" if PYTHON.search(body) else None, body))
+    return max(blocks, key=lambda b: (b[0] is not None, len(b[1])), default=(None, TAGGED.sub(r"\1", text.strip())))
 
 
 def language_of(code: str, stated: str | None) -> str | None:

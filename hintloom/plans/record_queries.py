@@ -81,14 +81,15 @@ def verdict_details(spark, sf_dir):
     return table(spark, sf_dir, "sample_source_cot").select("line_no", cases.verdict_detail(F.col("error"), F.col("status"), F.lit(None).cast("string")).alias("detail"))
 
 
-@query("verdict_summaries", f"""WITH c AS (SELECT unique_key, {_ST} AS s, count(*) AS n FROM judge_results GROUP BY 1, 2)
-    SELECT unique_key, 'verdict: ' || CASE WHEN count(*) = 1 AND min(s) = 'AC' THEN 'AC' ELSE 'mixed' END || '; cases: ' || string_agg(s || '=' || n, ', ' ORDER BY s) AS summary FROM c GROUP BY 1""")
+@query("verdict_summaries", f"""WITH j AS (SELECT unique_key, model_label, {_ST} AS s FROM judge_results), c AS (SELECT unique_key, model_label, s, count(*) AS n FROM j GROUP BY ALL),
+    t AS (SELECT unique_key, model_label, 'verdict: ' || CASE WHEN count(*) = 1 AND min(s) = 'AC' THEN 'AC' ELSE 'mixed' END || '; cases: ' || string_agg(s || '=' || n, ', ' ORDER BY s) AS x FROM c GROUP BY ALL)
+    SELECT unique_key, model_label, CASE WHEN length(x) <= 40 THEN x ELSE substr(x, 1, 20) || chr(10) || '...' || chr(10) || right(x, 20) END AS summary FROM t""")
 def verdict_summaries(spark, sf_dir):
-    counts = table(spark, sf_dir, "judge_results").groupBy("unique_key", T.status(F.col("status")).alias("s")).agg(F.count("*").alias("n"))
-    merged = counts.groupBy("unique_key").agg(F.array_sort(F.collect_list(F.struct("s", "n"))).alias("c"))
-    verdict = F.when((F.size("c") == 1) & (F.col("c")[0]["s"] == "AC"), "AC").otherwise("mixed")
-    listed = F.array_join(F.transform("c", lambda x: F.concat(x["s"], F.lit("="), x["n"].cast("string"))), ", ")
-    return merged.select("unique_key", F.concat(F.lit("verdict: "), verdict, F.lit("; cases: "), listed).alias("summary"))
+    """The operator's summary per key and model, shortened to forty characters. Statuses are counted before they are listed: a key's list has an entry per status."""
+    counts = table(spark, sf_dir, "judge_results").groupBy("unique_key", "model_label", T.status(F.col("status")).alias("s")).agg(F.count("*").alias("n"))
+    merged = counts.groupBy("unique_key", "model_label").agg(F.map_from_entries(F.collect_list(F.struct("s", "n"))).alias("c"))
+    verdict = F.when((F.size("c") == 1) & F.map_contains_key("c", "AC"), "AC").otherwise("mixed")
+    return merged.select("unique_key", "model_label", cases.counted_summary(verdict, F.col("c"), 40).alias("summary"))
 
 
 @query("length_profile", "SELECT topic, length(question) // 100 AS bucket, count(*) AS n, round(avg(length(question)), 4) AS mean, max(length(question)) AS longest FROM sample_problems GROUP BY 1, 2")

@@ -8,6 +8,7 @@ from hintloom.functions import text as T
 from hintloom.operators import relational as R
 from hintloom.operators import reports, sampling
 from hintloom.plans.registry import query, table
+from hintloom.plans.text_queries import strip_sql
 
 _RUNS = """SELECT o_custkey AS question_id, o_orderkey % 3 AS repeat_idx, CASE WHEN o_orderkey % 2 = 0 THEN 'direct' ELSE 'hinted' END AS mode, CASE WHEN o_orderstatus = 'P' THEN 'error' ELSE 'success' END AS status,
     CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE (o_totalprice > 150000)::INT END AS is_correct, o_orderkey % 100 AS prompt_tokens, nullif(o_orderkey % 50, 0) AS completion_tokens, (o_orderkey % 13) / 1000.0 AS cost FROM orders"""
@@ -79,9 +80,9 @@ def ac_rate_by_category(spark, sf_dir):
     return reports.accepted_rate(rows, ["category"], T.status(F.col("flash_status")))
 
 
-@query("gen_stats", r"SELECT source_model, count(*) AS n, count(*) FILTER (NOT full_) AS empty, sum(source_completion_tokens) FILTER (full_) AS tokens, round(avg(source_completion_tokens) FILTER (full_), 4) AS avg_tokens FROM (SELECT *, regexp_replace(coalesce(replace(model_response, chr(160), ''), ''), '\s+', '', 'g') <> '' AS full_ FROM sample_source_cot) GROUP BY 1")
+@query("gen_stats", rf"SELECT source_model, count(*) AS n, count(*) FILTER (NOT full_) AS empty, sum(source_completion_tokens) FILTER (full_) AS tokens, round(avg(source_completion_tokens) FILTER (full_), 4) AS avg_tokens FROM (SELECT *, {strip_sql("coalesce(model_response, '')")} <> '' AS full_ FROM sample_source_cot) GROUP BY 1")
 def gen_stats(spark, sf_dir):
-    full = F.coalesce(T.filled(F.replace("model_response", F.lit("\u00a0"), F.lit(""))).isNotNull(), F.lit(False))
+    full = T.filled(F.col("model_response")).isNotNull()
     tokens = F.when(full, F.col("source_completion_tokens"))
     return table(spark, sf_dir, "sample_source_cot").groupBy("source_model").agg(F.count("*").alias("n"), F.count_if(~full).alias("empty"), F.sum(tokens).alias("tokens"), F.round(F.avg(tokens), 4).alias("avg_tokens"))
 
@@ -237,15 +238,18 @@ def judge_demo(spark, sf_dir):
     return judge(asked).select("unique_key", "status", "lang", "passed", "total_tests")
 
 
-@query("card_recovery", "SELECT line_no, CASE WHEN regexp_replace(coalesce(heuristic, ''), '\\s+', '', 'g') = '' THEN 'card_0_do_empty_after_coerce' END AS error FROM sample_skill_cards")
+@query("card_recovery", f"""SELECT line_no, CASE WHEN blank THEN 'card_0_do_empty_after_coerce' END AS error, CASE WHEN NOT blank THEN CASE WHEN line_no % 2 = 0 THEN 'success' ELSE 'unknown' END END AS type, CASE WHEN NOT blank THEN CASE WHEN line_no % 2 = 0 THEN 'r' ELSE 'Potential overfitting risk.' END END AS risk
+    FROM (SELECT line_no, {strip_sql("coalesce(heuristic, '')")} = '' AS blank FROM sample_skill_cards)""")
 def card_recovery(spark, sf_dir):
+    """Raw answers with and without a type and a risk: the strict rules take the former, the tolerant ones the latter."""
     from hintloom.operators.recovery import recovered_cards
 
     field = lambda c: F.coalesce(F.col(c), F.lit(""))
-    raw = F.concat(F.lit("Cards:\n"), F.to_json(F.array(F.struct(F.lit("success").alias("type"), F.lit("t").alias("trigger"), F.lit("g").alias("tags"), field("heuristic").alias("do"), F.lit("a").alias("avoid"), F.lit("c").alias("check")))))
-    rows = table(spark, sf_dir, "sample_skill_cards").select("line_no", recovered_cards(raw).alias("r"))
-    # The tolerant rules keep a card without things to do; its error is what the strict ones would say.
-    return rows.select("line_no", F.when(F.size(F.col("r.cards")[0]["do"]) == 0, "card_0_do_empty_after_coerce").alias("error"))
+    even = F.col("line_no") % 2 == 0
+    card = F.struct(F.when(even, "success").alias("type"), F.lit("t").alias("trigger"), F.lit("g").alias("tags"), field("heuristic").alias("do"), F.lit("a").alias("avoid"), F.lit("c").alias("check"), F.when(even, "r").alias("risk"))
+    rows = table(spark, sf_dir, "sample_skill_cards").select("line_no", recovered_cards(F.concat(F.lit("Cards:\n"), F.to_json(F.array(card)))).alias("r"))
+    first = F.get("r.cards", F.lit(0))
+    return rows.select("line_no", "r.error", first["type"].alias("type"), first["risk"].alias("risk"))
 
 
 @query("mock_pipeline", """SELECT mode, 3 * count(*) AS runs, 3 * sum(CASE WHEN mode = 'direct' THEN length(question) ELSE length(question) + length(coalesce(hints, '')) END) AS characters

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hintloom.functions.text import similarity_tokens
-from hintloom.operators import dense, fusion, lexical
+from hintloom.operators import dense, fusion, lexical, retrieval
 from hintloom.plans.registry import query, table
 
 WORDS = "regexp_extract_all(lower(text), '[a-z0-9_]+')"
@@ -165,13 +165,88 @@ def gated_retrieve(spark, sf_dir):
     return fusion.gated(near, "max_sim", 5, 0.4).where("rank <= effective_k").select("query", "vec", "score", "rank")
 
 
+_K = 5
+_SETUP = f"""
+    lib AS (SELECT doc_id AS doc, text, CASE WHEN source = 'forum' THEN 'success' ELSE 'failure' END AS type, {_TOKENS} AS t FROM documents),
+    pairs AS (SELECT q.question_id AS query, v.vec_id AS doc, round(list_dot_product(e.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
+              FROM sample_benchmark q JOIN embeddings e ON e.vec_id = q.line_no, embeddings v),
+    near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM pairs) WHERE rank <= {{k}}),
+    sim AS (SELECT query, greatest(max(score), 0) AS max_sim FROM near GROUP BY query)"""
+
+
+def _selection_sql(k: int) -> str:
+    """Diverse selection and mixing over ``cand`` (query, doc, rank, type, t, n, kk), for up to ``k`` results, as one step of SQL for each."""
+    sim = _SIM.format(a="c.t", b="p.t")
+    steps = ["m1 AS (SELECT *, 1 AS pick FROM cand WHERE rank = 0)", f"l1 AS (SELECT c.*, {sim} AS s FROM cand c JOIN m1 p USING (query) WHERE c.rank > 0)"]
+    for i in range(2, k + 1):
+        value = "round(0.7 / (rank + 1) - (1 - 0.7) * s, 9)"
+        steps.append(f"m{i} AS (SELECT * EXCLUDE (o) FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY {value} DESC, rank) AS o FROM l{i - 1}) WHERE o = 1)")
+        steps.append(f"l{i} AS (SELECT c.* REPLACE (greatest(c.s, {sim}) AS s) FROM l{i - 1} c JOIN m{i} p USING (query) WHERE c.rank <> p.rank)")
+    picks = " UNION ALL ".join(f"SELECT query, doc, rank, type, {i} AS pick FROM m{i} WHERE n > kk AND {i} <= kk" for i in range(1, k + 1))
+    steps.append(f"picked AS (SELECT query, doc, rank, type, rank + 1 AS pick FROM cand WHERE n <= kk UNION ALL {picks})")
+    steps.append("pool AS (SELECT query, min_by(doc, rank) AS doc FROM cand c WHERE type <> 'success' AND rank <= 15 AND NOT EXISTS (SELECT 1 FROM picked p WHERE p.query = c.query AND p.doc = c.doc) GROUP BY query)")
+    steps.append("swap AS (SELECT p.query, max(CASE WHEN p.type = 'success' THEN p.pick END) AS pick, any_value(pool.doc) AS doc FROM picked p JOIN pool USING (query) GROUP BY p.query HAVING count(*) FILTER (p.type <> 'success') < 1)")
+    steps.append("final AS (SELECT p.query, coalesce(s.doc, p.doc) AS doc, p.pick FROM picked p LEFT JOIN swap s ON s.query = p.query AND s.pick = p.pick)")
+    return ",\n    ".join(steps)
+
+
+_DYNAMIC = f"CASE WHEN max_sim >= 0.85 THEN {_K} WHEN max_sim >= 0.7 THEN {max(3, _K - 1)} WHEN max_sim >= 0.6 THEN {max(2, _K - 2)} ELSE {max(1, _K - 3)} END"
+_BOTH = f"""WITH {_bm25_sql(CODES, 'distinct', 50)}, {_SETUP.format(k=50)},
+    listed AS (SELECT query, doc, rank, 0 AS list FROM top_distinct UNION ALL SELECT query, doc, rank, 1 FROM near),
+    merged AS (SELECT * FROM (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(sum(1 / (60.0 + rank)), 6) DESC, min(list * 1000 + rank), doc) AS rank FROM listed GROUP BY query, doc) WHERE rank <= 50),
+    cand AS (SELECT b.query, b.doc, b.rank - 1 AS rank, l.type, l.t, count(*) OVER (PARTITION BY b.query) AS n, {{kk}} AS kk FROM merged b JOIN lib l USING (doc) LEFT JOIN sim USING (query) {{gate}}), {_selection_sql(_K)}"""
+_GATED = _BOTH.format(kk=_DYNAMIC, gate="WHERE coalesce(max_sim, 0) >= 0.4")
+_STAGES = f"""WITH {_bm25_sql(CODES, 'distinct', 5)}, {_SETUP.format(k=20)}, card AS (SELECT doc_id % 500 AS source, doc_id AS doc FROM documents),
+    firsts AS (SELECT query, c.doc, min(n.rank) AS source_rank FROM near n JOIN card c ON c.source = n.doc GROUP BY query, c.doc),
+    merged AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY coalesce(score, 0) DESC, source_rank, doc) AS rank, count(*) OVER (PARTITION BY query) AS n FROM firsts LEFT JOIN scored USING (query, doc)),
+    cand AS (SELECT b.query, b.doc, b.rank - 1 AS rank, l.type, l.t, b.n, {_DYNAMIC} AS kk FROM merged b JOIN lib l USING (doc) JOIN sim USING (query) WHERE max_sim >= 0.4), {_selection_sql(_K)}"""
+_META = """ SELECT question_id AS query, '{name}' AS strategy, round(coalesce(max_sim, 0), 6) AS max_sim, coalesce(kk, 5)::INT AS effective_k, coalesce({n}, 0) AS n_candidates, c.query IS NULL AS skipped,
+    CASE {none} WHEN c.query IS NULL THEN 'below_threshold (' || printf('%.3f', coalesce(max_sim, 0)) || ' < 0.4)' END AS skip_reason, coalesce(f.n_selected, 0) AS n_selected
+    FROM sample_benchmark q LEFT JOIN (SELECT query, any_value(kk) AS kk, any_value(n) AS n FROM cand GROUP BY query) c ON c.query = question_id LEFT JOIN sim s ON s.query = question_id {more}
+    LEFT JOIN (SELECT query, count(*) AS n_selected FROM final GROUP BY query) f ON f.query = question_id"""
+
+
+def _retrieved(spark, sf_dir, strategy, **settings) -> DataFrame:
+    """Every benchmark question with the vector of its line number, over the documents as cards; a document's vector is that of its id, its source the id modulo 500."""
+    vectors = table(spark, sf_dir, "embeddings")
+    cards = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("card"), "text", F.when(F.col("source") == "forum", "success").otherwise("failure").alias("type"))
+    asked = table(spark, sf_dir, "sample_benchmark").join(vectors.select(F.col("vec_id").alias("line_no"), F.col("embedding").alias("vector")), "line_no", "left").select(F.col("question_id").alias("query"), F.col("question").alias("text"), "vector")
+    library = retrieval.Library(cards, vectors.select("vec_id", "embedding"), cards.select((F.col("card") % 500).alias("source"), "card"))
+    return retrieval.retrieve(library, asked, strategy, _K, threshold=0.4, **settings)
+
+
+@query("hybrid_retrieve", f"{_BOTH.format(kk=_K, gate='')} SELECT query, doc, pick FROM final")
+def hybrid_retrieve(spark, sf_dir):
+    return retrieval.selected(_retrieved(spark, sf_dir, "hybrid"))
+
+
+@query("hybrid_v2_retrieve", f"{_GATED} SELECT query, doc, pick FROM final")
+def hybrid_v2_retrieve(spark, sf_dir):
+    return retrieval.selected(_retrieved(spark, sf_dir, "hybrid_v2"))
+
+
+@query("hybrid_v2_metadata", _GATED + _META.format(name="hybrid_v2", n="c.n", none="", more=""))
+def hybrid_v2_metadata(spark, sf_dir):
+    return _retrieved(spark, sf_dir, "hybrid_v2").select("query", "meta.*")
+
+
+@query("twostage_retrieve", f"{_STAGES} SELECT query, doc, pick FROM final")
+def twostage_retrieve(spark, sf_dir):
+    return retrieval.selected(_retrieved(spark, sf_dir, "twostage"))
+
+
+@query("twostage_metadata", _STAGES + _META.format(name="twostage", n="m.n", none="WHEN e.vec_id IS NULL THEN 'no_q_vec' WHEN m.n IS NULL THEN 'no_source_match'", more="LEFT JOIN embeddings e ON e.vec_id = q.line_no LEFT JOIN (SELECT query, any_value(n) AS n FROM merged GROUP BY query) m ON m.query = question_id"))
+def twostage_metadata(spark, sf_dir):
+    return _retrieved(spark, sf_dir, "twostage").select("query", "meta.*")
+
+
 @query(
-    "twostage_retrieve",
+    "source_expansion",
     f"""WITH {DENSE.format(where='', k=20)}, hits AS (SELECT n.query, n.rank AS source_rank, d.doc_id AS card FROM near n JOIN documents d ON d.doc_id % 500 = n.vec),
     firsts AS (SELECT query, card, min(source_rank) AS source_rank FROM hits GROUP BY query, card)
     SELECT query, card, source_rank, row_number() OVER (PARTITION BY query ORDER BY source_rank, card) AS rank FROM firsts""",
 )
-def twostage_retrieve(spark, sf_dir):
+def source_expansion(spark, sf_dir):
     sources = _dense(spark, sf_dir, 20).withColumnRenamed("vec", "doc")
     cards = table(spark, sf_dir, "documents").select((F.col("doc_id") % 500).alias("problem"), F.col("doc_id").alias("card"))
     return fusion.expand_sources(sources, cards, "problem", "card")

@@ -8,7 +8,9 @@ from hintloom.functions import text as T
 from hintloom.operators import cards
 from hintloom.plans.registry import query, table
 
-STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+#: White space of any kind in DuckDB's patterns, inside brackets.
+BLANK = r"\s\x0b\x{{85}}\p{{Z}}"
+STRIP = rf"regexp_replace({{0}}, '^[{BLANK}]+|[{BLANK}]+$', '', 'g')"
 
 
 def strip_sql(x: str) -> str:
@@ -28,35 +30,26 @@ def trim_budget(spark, sf_dir):
 @query(
     "reasoning_trace",
     f"""SELECT line_no, md5(CASE WHEN t <> '' AND r <> '' THEN '<think>' || chr(10) || t || chr(10) || '</think>' || chr(10) || chr(10) || r WHEN t <> '' THEN t ELSE r END) AS trace
-    FROM (SELECT line_no, {strip_sql("replace(coalesce(model_think, ''), chr(160), '')")} AS t, {strip_sql("replace(coalesce(model_response, ''), chr(160), '')")} AS r FROM sample_source_cot)""",
+    FROM (SELECT line_no, {strip_sql("coalesce(model_think, '')")} AS t, {strip_sql("coalesce(model_response, '')")} AS r FROM sample_source_cot)""",
 )
 def reasoning_trace(spark, sf_dir):
-    plain = lambda c: F.replace(F.coalesce(F.col(c), F.lit("")), F.lit("\u00a0"), F.lit(""))
-    return table(spark, sf_dir, "sample_source_cot").select("line_no", F.md5(T.reasoning_trace(plain("model_think"), plain("model_response"))).alias("trace"))
+    return table(spark, sf_dir, "sample_source_cot").select("line_no", F.md5(T.reasoning_trace(F.col("model_think"), F.col("model_response"))).alias("trace"))
+
+
+_W, _S, _LINE = (x.replace("{{", "{").replace("}}", "}") for x in (f"[{BLANK}]", f"[^{BLANK}]", r"[ \t\x0b\f\r\x{{85}}\p{{Z}}]"))
+_ANSWERS = [rf"(?im)^{_W}*final{_W}+answer{_W}*[:：]{_LINE}*({_S}[^\n]*?){_W}*$", rf"(?im)^{_W}*answer{_W}*[:：]{_LINE}*({_S}[^\n]*?){_W}*$", rf"(?i)\bthe{_W}+final{_W}+answer{_W}+is{_W}+([^\n]+)", rf"(?i)\bthe{_W}+answer{_W}+is{_W}+([^\n]+)"]
 
 
 @query(
     "answer_extract",
-    r"""WITH t AS (SELECT line_no, coalesce(model_response, '') AS x FROM sample_source_cot),
-    p AS (SELECT line_no, x, regexp_extract_all(x, '(?im)^\s*final\s+answer\s*[:：][ \t]*(\S[^\n]*?)[ \t]*$', 1) AS a, regexp_extract_all(x, '(?im)^\s*answer\s*[:：][ \t]*(\S[^\n]*?)[ \t]*$', 1) AS b,
-      regexp_extract_all(x, '(?i)\bthe\s+final\s+answer\s+is\s+([^\n]+)', 1) AS c, regexp_extract_all(x, '(?i)\bthe\s+answer\s+is\s+([^\n]+)', 1) AS d, CASE WHEN contains(x, '\boxed') THEN trim(regexp_extract(string_split(x, '\boxed')[-1], '^[^{]*\{([^{}]*)\}', 1)) ELSE '' END AS e FROM t)
-    SELECT line_no, CASE WHEN e <> '' THEN e WHEN len(a) > 0 THEN trim(a[-1]) WHEN len(b) > 0 THEN trim(b[-1]) WHEN len(c) > 0 THEN trim(c[-1]) WHEN len(d) > 0 THEN trim(d[-1])
-      ELSE trim(regexp_extract(regexp_replace(x, '\s+$', ''), '([^\n\r]*)$', 1)) END AS final_answer FROM p WHERE NOT contains(x, chr(160))""",
+    rf"""WITH t AS (SELECT line_no, coalesce(model_response, '') AS x FROM sample_source_cot),
+    p AS (SELECT line_no, x, {", ".join(f"regexp_extract_all(x, '{p}', 1) AS {c}" for p, c in zip(_ANSWERS, "abcd"))}, CASE WHEN contains(x, '\boxed') THEN {strip_sql(r"regexp_extract(string_split(x, '\boxed')[-1], '^[^{]*\{([^{}]*)\}', 1)")} ELSE '' END AS e FROM t)
+    SELECT line_no, CASE WHEN e <> '' THEN e {" ".join(f"WHEN len({c}) > 0 THEN {strip_sql(f'{c}[-1]')}" for c in "abcd")} ELSE {strip_sql(f"regexp_extract({strip_sql('x')}, '([^\n\r]*)$', 1)")} END AS final_answer FROM p""",
 )
 def answer_extract(spark, sf_dir):
-    rows = table(spark, sf_dir, "sample_source_cot").select("line_no", F.coalesce("model_response", F.lit("")).alias("x")).where(~F.contains("x", F.lit("\u00a0")))
-    return rows.select("line_no", T.final_answer(F.col("x")).alias("final_answer"))
-
-
-@query("answer_extract_all")
-def answer_extract_all(spark, sf_dir):
-    """The final answers of all rows; ``answer_extract`` leaves out those with a no-break space, as its SQL does."""
     return table(spark, sf_dir, "sample_source_cot").select("line_no", T.final_answer(F.coalesce("model_response", F.lit(""))).alias("final_answer"))
 
 
-_NORMAL = r"rtrim({0}, '.;,')"
-
-
 def _normal_sql(x: str) -> str:
     x = rf"regexp_replace(regexp_replace(lower({strip_sql(x)}), '\\boxed\s*\{{([^{{}}]*)\}}', '\1', 'g'), '\\text\s*\{{([^{{}}]*)\}}', '\1', 'g')"
     for token in ("$", r"\(", r"\)", r"\[", r"\]", r"\left", r"\right", "`", "*", " "):
@@ -100,19 +93,30 @@ def output_format_counts(spark, sf_dir):
     return rows.agg(count("```cpp").alias("cpp"), count("```python").alias("python"), F.count_if(~F.contains("flash_output", F.lit("```"))).alias("no_fence"))
 
 
-@query("code_extract", r"SELECT line_no, lang, md5(regexp_replace(code, '^\n+|\n+$', '', 'g')) AS code FROM (SELECT line_no, regexp_extract(flash_output, '(?s)```([a-z]+)\n(.*?)\n```', 1) AS lang, regexp_extract(flash_output, '(?s)```([a-z]+)\n(.*?)\n```', 2) AS code FROM joined_sample) WHERE lang <> ''")
-def code_extract(spark, sf_dir):
-    rows = table(spark, sf_dir, "joined_sample").where(F.col("flash_output").rlike(r"(?s)```[a-z]+\n.*?\n```")).select("line_no", T.best_code(F.col("flash_output")).alias("c"))
-    return rows.select("line_no", "c.lang", F.md5("c.code").alias("code"))
+_FENCE = r"(?s)```([a-zA-Z0-9_+\-]*)\n(.*?)\n```"
+_FOREIGN = ", ".join(f"'{x}'" for x in T.UNSUPPORTED)
+_ALIAS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.LANGUAGES.items())
 
 
-@query("code_extract_all")
-def code_extract_all(spark, sf_dir):
-    """The best code of all rows, the whole text where no block is closed; ``code_extract`` has those with a tagged block, as its SQL does."""
+@query("code_extract", rf"""WITH t AS (SELECT line_no, flash_output AS x FROM joined_sample),
+    f AS (SELECT line_no, 0 AS part, unnest(range(1, len(l) + 1)) AS i, l, c FROM (SELECT line_no, regexp_extract_all(x, '{_FENCE}', 1) AS l, regexp_extract_all(x, '{_FENCE}', 2) AS c FROM t)),
+    g AS (SELECT line_no, 1 AS part, unnest(range(1, len(c) + 1)) AS i, c FROM (SELECT line_no, list_transform(regexp_extract_all(x, '{T.CODE_BLOCK}', 1), lambda y: {strip_sql('y')}) AS c FROM t)),
+    b AS (SELECT line_no, part, i, CASE lower(l[i]) {_ALIAS} END AS lang, regexp_replace(c[i], '^\n+|\n+$', '', 'g') AS code FROM f WHERE lower(l[i]) NOT IN ({_FOREIGN})
+          UNION ALL SELECT line_no, part, i, CASE WHEN regexp_matches(c[i], '{T.CPP_SIGN}') THEN 'cpp' WHEN regexp_matches(c[i], '{T.PYTHON_SIGN}') THEN 'python' END, c[i] FROM g WHERE NOT regexp_matches(c[i], '{T.FOREIGN_SIGN}')),
+    r AS (SELECT *, row_number() OVER (PARTITION BY line_no ORDER BY length(code) + CASE WHEN lang IS NULL THEN 0 ELSE 10000000 END DESC, part, i) AS place FROM b WHERE {strip_sql('code')} <> '')
+    SELECT t.line_no, r.lang, md5(CASE WHEN r.line_no IS NULL THEN regexp_replace({strip_sql('x')}, '{T.CODE_BLOCK}', '\1', 'g') ELSE r.code END) AS code FROM t LEFT JOIN r ON r.line_no = t.line_no AND place = 1""")
+def code_extract(spark, sf_dir):
     rows = table(spark, sf_dir, "joined_sample").select("line_no", T.best_code(F.col("flash_output")).alias("c"))
     return rows.select("line_no", "c.lang", F.md5("c.code").alias("code"))
 
 
+@query("code_block_errors", rf"SELECT line_no, {strip_sql("upper(coalesce(status, ''))")} IN ('CE', 'RE') AND contains(lower(coalesce(detail, '')), 'code_block') AS again FROM (SELECT line_no, CASE WHEN error IS NOT NULL THEN 'CE' ELSE status END AS status, model_response || CASE WHEN line_no % 2 = 0 THEN ' stray <Code_Block> tag' ELSE '' END AS detail FROM sample_source_cot)")
+def code_block_errors(spark, sf_dir):
+    """Which verdicts are to be judged again because tags of a code block were compiled."""
+    rows = table(spark, sf_dir, "sample_source_cot").select("line_no", F.when(F.col("error").isNotNull(), "CE").otherwise(F.col("status")).alias("status"), F.concat("model_response", F.when(F.col("line_no") % 2 == 0, " stray <Code_Block> tag").otherwise("")).alias("detail"))
+    return rows.select("line_no", T.code_block_error(F.col("status"), F.col("detail")).alias("again"))
+
+
 @query("compare_outputs", "SELECT l_orderkey, l_linenumber, abs(l_tax - l_discount) <= 1e-6 OR (l_discount <> 0 AND abs(l_tax - l_discount) / greatest(abs(l_discount), 1e-15) <= 1e-6) AS same FROM lineitem")
 def compare_outputs(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", T.outputs_equal(F.col("l_tax").cast("string"), F.col("l_discount").cast("string")).alias("same"))
@@ -123,7 +127,7 @@ def json_props_extract(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
 
 
-@query("json_repair")
+@query("json_repair", "SELECT line_no, true AS parsed FROM sample_source_cot")
 def json_repair(spark, sf_dir):
     raw = F.concat(F.lit('{"text": "'), F.replace(F.replace(F.replace(F.coalesce("model_response", F.lit("")), F.lit('"'), F.lit("'")), F.lit("\n"), F.lit(" ")), F.lit("\t"), F.lit(" ")), F.lit('"}'))
     rows = table(spark, sf_dir, "sample_source_cot").select("line_no", raw.alias("raw"))

@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from hintloom.functions import text as T
 from hintloom.operators import cards, dense, fusion, judging, lexical, recovery, relational, reports, sampling
 from hintloom.plans import pipeline
 from hintloom.streaming import monitor
@@ -171,13 +172,60 @@ def test_recovery(spark):
     assert got["error"] is None and got["cards"][0]["trigger"] == ["a", "b"] and got["cards"][0]["risk"] == "r ; s" and got["cards"][0]["type"] == "success"
     assert recovery.recover("bad { x ] then " + good + " end")["error"] is None
     assert recovery.recover(good.replace('"a; b"', r'"\alpha"'))["cards"][0]["trigger"] == [r"\alpha"]
-    assert recovery.recover(None)["error"] == "empty_content" and recovery.recover("none")["error"] == "no_json_object" and recovery.recover("[1]")["error"] == "card_0_not_object"
+    assert recovery.recover(None)["error"] == "empty_raw_content" and recovery.recover("none")["error"] == "no_json_object" and recovery.recover("[1]")["error"] == "card_0_not_object"
     assert recovery.validated([{"type": "x"}])[1].startswith("card_0_missing:")
     df = spark.createDataFrame([(good,), (None,)], "t string").select(recovery.recovered_cards(F.col("t")).alias("r")).collect()
-    assert df[0].r.cards[0].do == ["x"] and df[1].r.error == "empty_content"
+    assert df[0].r.cards[0].do == ["x"] and df[1].r.error == "empty_raw_content"
     assert {k: len(v) for k, v in recovery.fit_prompt({"a": "x" * 100, "b": "y" * 100}, ["b", "a"], {"b": 40}, 130, 10).items()} == {"a": 80, "b": 40}
 
 
+def test_tolerant_cards():
+    whole = {"trigger": "a", "tags": "t", "do": "x", "avoid": "y", "check": "z"}
+    assert recovery.validated([whole])[1] == "card_0_missing:type"
+    cards, error = recovery.validated([whole], tolerant=True)
+    assert error is None and cards[0]["type"] == "unknown" and cards[0]["risk"] == "Potential overfitting risk."
+    assert recovery.validated([whole | {"do": " ; "}], tolerant=True)[1] is None  # the text itself stands where splitting leaves nothing
+    assert recovery.validated([whole | {"do": []}], tolerant=True)[1] == "card_0_do_empty_after_coerce"
+    assert recovery.validated([whole, 5], tolerant=True)[1] == "card_1_not_object"
+    assert recovery.validated("x")[1] == "root_not_object_or_list" and recovery.validated({"cards": {}})[1] == "cards_missing_or_empty"
+    assert recovery.items("- a; b\n") == ["a", "b"] and recovery.items([" c ", "", 4]) == ["c", "4"] and recovery.items(None) == [] == recovery.items(" ")
+
+
+def test_failure_cards():
+    card = {"type": "x", "trigger": ["a"] * 9, "tags": "t", "edge_pattern": " e ", "do": "1;2;3;4"}
+    cards, error = recovery.validated_failures({"cards": [card, card | {"type": "Wrong_Approach", "wrong_approach": "w"}]})
+    assert error is None and cards[0] == {"type": "edge_fix", "trigger": ["a"] * 4, "tags": ["t"], "do": ["1", "2", "3"], "avoid": [], "check": [], "edge_pattern": "e", "fix_hint": ""}
+    assert cards[1]["type"] == "wrong_approach" and cards[1]["wrong_approach"] == "w" and cards[1]["correct_direction"] == ""
+    assert recovery.validated_failures([{"trigger": "a"}])[1] == "card_0_tags_empty" and recovery.validated_failures([3])[1] == "card_0_not_object"
+
+
+def test_tagged_code(spark):
+    texts = [
+        "<code_block>\n#include <x>\nint main() {}\n</code_block>", "<CODE_BLOCK>def f(x):\n  return x</CODE_BLOCK>\n```text\n" + "y" * 99 + "\n```",
+        "<code_block>use std::io; fn main() {}</code_block>", "```rust\nfn x() {}\n```", "```c++\na\n```\n```py\nlonger\n```\n```py\nlonges\n```", " plain ", None, "```python\nopen",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.best_code(F.col("t")).alias("c"), T.code_block_error(F.lit("re "), F.col("t")).alias("e"))
+    for r in df.collect():
+        assert (r.c.lang, r.c.code or "") == judging.pick_code(r.t), r.t
+        assert r.e == (r.t is not None and "code_block" in r.t.lower())
+    assert judging.pick_code(texts[0])[0] == "cpp" and judging.pick_code(texts[1]) == ("python", "def f(x):\n  return x")
+    assert judging.pick_code(texts[4])[1] == "longer" and judging.pick_code(texts[2])[1].startswith("use std")
+
+
+def test_pair_scores_equal_those_of_the_search(spark):
+    rnd = random.Random(6)
+    docs = spark.createDataFrame([(i, " ".join(rnd.choice("a b c d e f g h".split()) for _ in range(rnd.randrange(12)))) for i in range(60)] + [(99, None)], "doc bigint, body string")
+    asks = spark.createDataFrame([("q1", "a a b"), ("q2", "h"), ("q3", None)], "q string, t string")
+    found = lexical.bm25_top_k(docs, "doc", "body", asks, "q", "t", 100)
+    pairs = docs.select("doc").crossJoin(asks.select(F.col("q").alias("query")))
+    scored = {(r.query, r.doc): r.score for r in lexical.bm25_scores(docs, "doc", "body", asks, "q", "t", pairs).collect()}
+    assert len(scored) == 61 * 3 and {k: v for k, v in scored.items() if v > 0} == {(r.query, r.doc): r.score for r in found.collect()}
+    lexical.VALUES_AT_ONCE, kept = 3, lexical.VALUES_AT_ONCE
+    assert sorted(map(tuple, lexical.bm25_top_k(docs, "doc", "body", asks, "q", "t", 100).collect())) == sorted(map(tuple, found.collect()))
+    lexical.VALUES_AT_ONCE = kept
+    assert lexical.bm25_top_k(docs, "doc", "body", asks.limit(0), "q", "t").collect() == []
+
+
 def test_pipeline(spark):
     items = spark.createDataFrame([("q1", "What is 1+1?", "2"), ("q2", None, None)], "question_id string, question string, answer string")
     hints = spark.createDataFrame([("q1", "add them")], "question_id string, hints string")

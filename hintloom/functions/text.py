@@ -204,6 +204,12 @@ def code_block_error(verdict: Column, detail: Column) -> Column:
     return F.coalesce(status(verdict).isin("CE", "RE") & F.contains(F.lower(detail), F.lit("code_block")), F.lit(False))
 
 
+def verdict(text: Column) -> Column:
+    """What a verifier's first line says: INCORRECT before CORRECT, UNKNOWN for neither and for null."""
+    line = F.upper(F.substring_index(strip(F.coalesce(text, F.lit(""))), "\n", 1))
+    return F.when(F.contains(line, F.lit("INCORRECT")), "INCORRECT").when(F.contains(line, F.lit("CORRECT")), "CORRECT").otherwise("UNKNOWN")
+
+
 def output_text(text: Column) -> Column:
     """Line ends as \\n, no trailing blank lines, no white space at line ends."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n")

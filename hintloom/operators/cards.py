@@ -100,6 +100,13 @@ def drop_reason(card: dict[str, Column], text: Column, least: int = 20) -> Colum
     return F.when(~kind.isin(*TYPES), "type").when(F.size(clean_list(card["trigger"])) == 0, "trigger_empty").when(F.length(F.coalesce(text, F.lit(""))) < least, "text_too_short")
 
 
+def failure_drop_reason(card: dict[str, Column], text: Column, least: int = 5, longest: int = 250) -> Column:
+    """The rule that keeps a failure card out of an index, null if none does or it is of another type: fields too short, text for prompts too long."""
+    size = lambda k: F.length(F.coalesce(card[k], F.lit("")))
+    thin = ((card["type"] == "edge_fix") & ((size("edge_pattern") < least) | (size("fix_hint") < least))) | ((card["type"] == "wrong_approach") & (size("wrong_approach") < least))
+    return F.when(thin, "field_too_short").when(card["type"].isin(*TYPED) & (F.length(F.coalesce(text, F.lit(""))) > longest), "text_too_long")
+
+
 # Per type of a failure card, the label of its triggers in prompts, and per field its label in indexes and its form in prompts.
 TYPED = {
     "edge_fix": ("EDGE CASE", (("edge_pattern", "EDGE", "{}."), ("fix_hint", "FIX", "Fix: {}."))),

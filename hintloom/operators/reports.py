@@ -115,3 +115,46 @@ def diagnostic_picks(df: DataFrame, key: str, case: str, status: Column, size: C
     reasons = F.array(*[F.struct(F.lit(i).alias("o"), F.lit(w).alias("why"), F.col(w).alias(case)) for i, w in enumerate(("first", "last", "tle", "worst"))])
     each = picks.select(key, F.inline(reasons)).where(F.col(case).isNotNull())
     return each.groupBy(key, case).agg(F.min_by("why", "o").alias("why"))
+
+
+def run_statistics(df: DataFrame, group: list[str], ok: Column, attempts: Column, special: Column) -> DataFrame:
+    """(group…, tasks, ok, failed, ok_rate, avg_attempts, special_total, special_ok, special_ok_rate): how a run went, four places for rates and two for attempts.
+
+    ``special`` marks the tasks with an own rate, null if there are none. Null flags count as false, null attempts as 0.
+    """
+    good, own = F.coalesce(ok, F.lit(False)), F.coalesce(special, F.lit(False))
+    n = F.count("*")
+    return df.groupBy(*group).agg(
+        n.alias("tasks"), F.count_if(good).alias("ok"), F.count_if(~good).alias("failed"), F.round(F.count_if(good) / n, 4).alias("ok_rate"), F.round(F.sum(F.coalesce(attempts, F.lit(0))) / n, 2).alias("avg_attempts"),
+        F.count_if(own).alias("special_total"), F.count_if(own & good).alias("special_ok"), F.round(F.try_divide(F.count_if(own & good), F.count_if(own)), 4).alias("special_ok_rate"),
+    )
+
+
+# Signs of Rust in an output, tags of blocks that are judged.
+RUST = r"use std::|fn main\(\)|for\s+_\s+in\s+0\.\."
+JUDGED_TAGS = ("cpp", "c++", "cc", "cxx", "python", "py")
+
+
+def compile_diagnosis(df: DataFrame, group: list[str], output: Column) -> DataFrame:
+    """(group…, n, rust_syntax, rust_blocks, other_blocks, no_fence) of outputs that failed to compile; null outputs count as empty."""
+    text = F.coalesce(output, F.lit(""))
+    tags = F.transform(F.regexp_extract_all(text, F.lit(r"```(\w+)"), F.lit(1)), F.lower)
+    rust = F.size(F.filter(tags, lambda t: t.isin("rust", "rs")))
+    other = F.size(F.filter(tags, lambda t: ~t.isin(*JUDGED_TAGS)))
+    return df.groupBy(*group).agg(F.count("*").alias("n"), F.count_if(text.rlike(RUST)).alias("rust_syntax"), F.sum(rust).alias("rust_blocks"), F.sum(other).alias("other_blocks"), F.count_if(F.size(tags) == 0).alias("no_fence"))
+
+
+def prompt_profile(df: DataFrame, profile: Column, prompt: Column) -> DataFrame:
+    """(profile, n, avg_len, max_len): prompts per budget profile and their lengths, two places."""
+    n = F.length(F.coalesce(prompt, F.lit("")))
+    return df.groupBy(profile.alias("profile")).agg(F.count("*").alias("n"), F.round(F.avg(n), 2).alias("avg_len"), F.max(n).cast("bigint").alias("max_len"))
+
+
+def grid(keys: dict[str, list[str]], measures: DataFrame) -> DataFrame:
+    """One row per combination of the listed values of the keys, in that order (``place``), with the measures of those that have any, '-' for the others."""
+    at = measures.sparkSession.createDataFrame([(0,)], "place int")
+    for key, values in keys.items():
+        listed = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(v).alias("v")) for i, v in enumerate(values)])
+        at = at.withColumn("_x", F.explode(listed)).select(*[c for c in at.columns if c != "place"], (F.col("place") * len(values) + F.col("_x.i")).alias("place"), F.col("_x.v").alias(key))
+    joined = at.join(measures, list(keys), "left")
+    return joined.select("place", *keys, *[F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(c) for c in measures.columns if c not in keys])

@@ -153,8 +153,7 @@ def verified(df: DataFrame, question: str, gold: str, candidate: str, verify: st
         prompt = T.render(F.lit(VERIFY), {"question": F.col(question), "gold": F.col(gold), "candidate": F.col(candidate)})
         asked = lambda p: call(p) if p else {"content": ""}
         df = generate(df.withColumnRenamed("generation", "_kept").withColumn("_verify", F.when(there & F.col(candidate).isNotNull(), prompt)), "_verify", asked).withColumnRenamed("generation", "_said").withColumnRenamed("_kept", "generation")
-        line = F.upper(F.substring_index(T.strip(F.coalesce("_said.content", F.lit(""))), "\n", 1))
-        verdict = F.when(F.contains(line, F.lit("INCORRECT")), "INCORRECT").when(F.contains(line, F.lit("CORRECT")), "CORRECT").otherwise("UNKNOWN")
+        verdict = T.verdict(F.col("_said.content"))
     df = df.withColumn("verdict", F.when(~there, "UNKNOWN").otherwise(verdict))
     return df.withColumn("is_correct", F.when(F.col("verdict") == "CORRECT", 1).when(F.col("verdict") == "INCORRECT", 0)).drop("_verify", "_said")
 

@@ -271,3 +271,36 @@ def batch_pipeline(spark, sf_dir):
     from hintloom.plans.pipeline import run_pipeline
 
     return run_pipeline(table(spark, sf_dir, "sample_problems"), table(spark, sf_dir, "sample_benchmark"), "{{question}}\n\n{{hints}}")
+
+
+@query("run_statistics", """SELECT source_model, count(*) AS tasks, count(*) FILTER (ok) AS ok, count(*) FILTER (NOT ok) AS failed, round(count(*) FILTER (ok) / count(*), 4) AS ok_rate, round(sum(coalesce(retry_attempt, 0)) / count(*), 2) AS avg_attempts,
+    count(*) FILTER (s) AS special_total, count(*) FILTER (s AND ok) AS special_ok, round(count(*) FILTER (s AND ok) / nullif(count(*) FILTER (s), 0), 4) AS special_ok_rate FROM (SELECT *, coalesce(lower(trim(status)) = 'success', false) AS ok, coalesce(source_completion_tokens, 0) > 600 AS s FROM sample_source_cot) GROUP BY 1""")
+def run_statistics(spark, sf_dir):
+    rows = table(spark, sf_dir, "sample_source_cot")
+    return reports.run_statistics(rows, ["source_model"], F.lower(F.trim("status")) == "success", F.col("retry_attempt"), F.col("source_completion_tokens") > 600)
+
+
+@query("error_counts", "SELECT coalesce(error, 'unknown') AS error, count(*) AS n, sum(source_prompt_tokens) AS prompt_tokens FROM sample_source_cot WHERE coalesce(lower(trim(status)), '') <> 'success' GROUP BY 1")
+def error_counts(spark, sf_dir):
+    failed = table(spark, sf_dir, "sample_source_cot").where(F.coalesce(F.lower(F.trim("status")), F.lit("")) != "success")
+    return failed.groupBy(F.coalesce("error", F.lit("unknown")).alias("error")).agg(F.count("*").alias("n"), F.sum("source_prompt_tokens").alias("prompt_tokens"))
+
+
+@query("compile_diagnosis", r"""SELECT source, count(*) AS n, count(*) FILTER (regexp_matches(x, 'use std::|fn main\(\)|for\s+_\s+in\s+0\.\.')) AS rust_syntax, sum(len(list_filter(t, lambda y: y IN ('rust', 'rs')))) AS rust_blocks,
+    sum(len(list_filter(t, lambda y: y NOT IN ('cpp', 'c++', 'cc', 'cxx', 'python', 'py')))) AS other_blocks, count(*) FILTER (len(t) = 0) AS no_fence
+    FROM (SELECT source, coalesce(flash_output, '') AS x, list_transform(regexp_extract_all(coalesce(flash_output, ''), '```(\w+)', 1), lambda y: lower(y)) AS t FROM joined_sample) GROUP BY 1""")
+def compile_diagnosis(spark, sf_dir):
+    return reports.compile_diagnosis(table(spark, sf_dir, "joined_sample"), ["source"], F.col("flash_output"))
+
+
+@query("prompt_profile", "SELECT CASE WHEN passed > 0 THEN 'A' ELSE 'B' END || ':cases=' || least(total_tests, 9) AS profile, count(*) AS n, round(avg(length(coalesce(unique_key, ''))), 2) AS avg_len, max(length(coalesce(unique_key, ''))) AS max_len FROM judge_results GROUP BY 1")
+def prompt_profile(spark, sf_dir):
+    tier = F.when(F.col("passed") > 0, "A").otherwise("B")
+    return reports.prompt_profile(table(spark, sf_dir, "judge_results"), F.concat(tier, F.lit(":cases="), F.least("total_tests", F.lit(9)).cast("string")), F.col("unique_key"))
+
+
+@query("status_grid", f"""WITH m AS (SELECT lower(lang) AS lang, {_S} AS status, count(*) AS n FROM judge_results GROUP BY 1, 2)
+    SELECT a.i * 6 + b.i AS place, a.v AS lang, b.v AS status, coalesce(n::VARCHAR, '-') AS n FROM (SELECT unnest(['python', 'cpp', 'rust']) AS v, unnest(range(3)) AS i) a, (SELECT unnest(['AC', 'WA', 'TLE', 'RE', 'CE', 'MLE']) AS v, unnest(range(6)) AS i) b LEFT JOIN m ON m.lang = a.v AND m.status = b.v""")
+def status_grid(spark, sf_dir):
+    measures = table(spark, sf_dir, "judge_results").groupBy(F.lower("lang").alias("lang"), T.status(F.col("status")).alias("status")).agg(F.count("*").alias("n"))
+    return reports.grid({"lang": ["python", "cpp", "rust"], "status": ["AC", "WA", "TLE", "RE", "CE", "MLE"]}, measures)

@@ -234,3 +234,15 @@ def card_texts_typed(spark, sf_dir):
 def experience_block(spark, sf_dir):
     rows, card = _cards(spark, sf_dir)
     return rows.select("line_no", F.md5(cards.experience_block(card["do"], F.lit("Check each step."))).alias("block"))
+
+
+@query("failure_card_drops", f"SELECT coalesce(CASE WHEN type = 'edge_fix' AND (length(coalesce(topic, '')) < 5 OR length(coalesce(answer, '')) < 5) THEN 'field_too_short' WHEN type = 'edge_fix' AND length(coalesce(array_to_string(items, ' '), '')) > 250 THEN 'text_too_long' END, 'kept') AS reason, count(*) AS n FROM ({_CARDS}) GROUP BY 1")
+def failure_card_drops(spark, sf_dir):
+    rows, card = _cards(spark, sf_dir)
+    return rows.groupBy(F.coalesce(cards.failure_drop_reason(card, F.array_join(card["do"], " ")), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("verdict_parse", f"SELECT line_no, CASE WHEN contains(h, 'INCORRECT') THEN 'INCORRECT' WHEN contains(h, 'CORRECT') THEN 'CORRECT' ELSE 'UNKNOWN' END AS verdict FROM (SELECT line_no, upper(string_split({strip_sql("CASE line_no % 3 WHEN 0 THEN 'It is incorrect: ' WHEN 1 THEN ' Correct. ' ELSE '' END || coalesce(model_response, '')")}, chr(10))[1]) AS h FROM sample_source_cot)")
+def verdict_parse(spark, sf_dir):
+    before = F.when(F.col("line_no") % 3 == 0, "It is incorrect: ").when(F.col("line_no") % 3 == 1, " Correct. ").otherwise("")
+    return table(spark, sf_dir, "sample_source_cot").select("line_no", T.verdict(F.concat(before, F.coalesce("model_response", F.lit("")))).alias("verdict"))

@@ -67,10 +67,8 @@ def retrieve(
     best = None
     if strategy == "twostage":
         near = _near(library, asked, top_sources)
-        best = near.groupBy("query").agg(F.max("score").alias("max_sim"))
+        best = near.join(library.sources.select(F.col("source").alias("doc")).distinct(), "doc", "left_semi").groupBy("query").agg(F.max("score").alias("max_sim"))
         found = fusion.expand_sources(near, library.sources, "source", "card").withColumnsRenamed({"card": "doc", "rank": "stage"})
-        held = found.select("query").distinct()
-        best = best.join(held, "query", "left_semi")
         scored = lexical.bm25_scores(library.cards, "card", "text", asked, "query", "text", found, weighting="distinct", tokenizer="code")
         ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "stage"))).select("query", "doc", "rank")
     else:

@@ -197,12 +197,13 @@ _BOTH = f"""WITH {_bm25_sql(CODES, 'distinct', 50)}, {_SETUP.format(k=50)},
     cand AS (SELECT b.query, b.doc, b.rank - 1 AS rank, l.type, l.t, count(*) OVER (PARTITION BY b.query) AS n, {{kk}} AS kk FROM merged b JOIN lib l USING (doc) LEFT JOIN sim USING (query) {{gate}}), {_selection_sql(_K)}"""
 _GATED = _BOTH.format(kk=_DYNAMIC, gate="WHERE coalesce(max_sim, 0) >= 0.4")
 _STAGES = f"""WITH {_bm25_sql(CODES, 'distinct', 5)}, {_SETUP.format(k=20)}, card AS (SELECT doc_id % 500 AS source, doc_id AS doc FROM documents),
+    hit AS (SELECT query, max(score) AS max_sim FROM near n JOIN card c ON c.source = n.doc GROUP BY query),
     firsts AS (SELECT query, c.doc, min(n.rank) AS source_rank FROM near n JOIN card c ON c.source = n.doc GROUP BY query, c.doc),
     merged AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY coalesce(score, 0) DESC, source_rank, doc) AS rank, count(*) OVER (PARTITION BY query) AS n FROM firsts LEFT JOIN scored USING (query, doc)),
-    cand AS (SELECT b.query, b.doc, b.rank - 1 AS rank, l.type, l.t, b.n, {_DYNAMIC} AS kk FROM merged b JOIN lib l USING (doc) JOIN sim USING (query) WHERE max_sim >= 0.4), {_selection_sql(_K)}"""
+    cand AS (SELECT b.query, b.doc, b.rank - 1 AS rank, l.type, l.t, b.n, {_DYNAMIC} AS kk FROM merged b JOIN lib l USING (doc) JOIN hit USING (query) WHERE max_sim >= 0.4), {_selection_sql(_K)}"""
 _META = """ SELECT question_id AS query, '{name}' AS strategy, round(coalesce(max_sim, 0), 6) AS max_sim, coalesce(kk, 5)::INT AS effective_k, coalesce({n}, 0) AS n_candidates, c.query IS NULL AS skipped,
     CASE {none} WHEN c.query IS NULL THEN 'below_threshold (' || printf('%.3f', coalesce(max_sim, 0)) || ' < 0.4)' END AS skip_reason, coalesce(f.n_selected, 0) AS n_selected
-    FROM sample_benchmark q LEFT JOIN (SELECT query, any_value(kk) AS kk, any_value(n) AS n FROM cand GROUP BY query) c ON c.query = question_id LEFT JOIN sim s ON s.query = question_id {more}
+    FROM sample_benchmark q LEFT JOIN (SELECT query, any_value(kk) AS kk, any_value(n) AS n FROM cand GROUP BY query) c ON c.query = question_id LEFT JOIN {sim} s ON s.query = question_id {more}
     LEFT JOIN (SELECT query, count(*) AS n_selected FROM final GROUP BY query) f ON f.query = question_id"""
 
 
@@ -225,7 +226,7 @@ def hybrid_v2_retrieve(spark, sf_dir):
     return retrieval.selected(_retrieved(spark, sf_dir, "hybrid_v2"))
 
 
-@query("hybrid_v2_metadata", _GATED + _META.format(name="hybrid_v2", n="c.n", none="", more=""))
+@query("hybrid_v2_metadata", _GATED + _META.format(name="hybrid_v2", n="c.n", none="", sim="sim", more=""))
 def hybrid_v2_metadata(spark, sf_dir):
     return _retrieved(spark, sf_dir, "hybrid_v2").select("query", "meta.*")
 
@@ -235,7 +236,7 @@ def twostage_retrieve(spark, sf_dir):
     return retrieval.selected(_retrieved(spark, sf_dir, "twostage"))
 
 
-@query("twostage_metadata", _STAGES + _META.format(name="twostage", n="m.n", none="WHEN e.vec_id IS NULL THEN 'no_q_vec' WHEN m.n IS NULL THEN 'no_source_match'", more="LEFT JOIN embeddings e ON e.vec_id = q.line_no LEFT JOIN (SELECT query, any_value(n) AS n FROM merged GROUP BY query) m ON m.query = question_id"))
+@query("twostage_metadata", _STAGES + _META.format(name="twostage", sim="hit", n="m.n", none="WHEN e.vec_id IS NULL THEN 'no_q_vec' WHEN m.n IS NULL THEN 'no_source_match'", more="LEFT JOIN embeddings e ON e.vec_id = q.line_no LEFT JOIN (SELECT query, any_value(n) AS n FROM merged GROUP BY query) m ON m.query = question_id"))
 def twostage_metadata(spark, sf_dir):
     return _retrieved(spark, sf_dir, "twostage").select("query", "meta.*")
 

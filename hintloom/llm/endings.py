@@ -145,7 +145,7 @@ def _hits(values: DataFrame, spikes: DataFrame) -> DataFrame:
     return joined.withColumn("hits", F.when(F.size(on) > 0, on)).drop("_f", "_s", "known")
 
 
-def length_limits(measured: DataFrame, least: int = 4, window: int = 32, spike: float = 8.0) -> DataFrame:
+def length_limits(measured: DataFrame, least: int = 8, window: int = 32, spike: float = 8.0) -> DataFrame:
     """Hidden limits of (field, source, h, lengths, unfinished): (field, source, encoding, limit, n), n different texts exactly that long.
 
     Every length in every encoding is tested. It is a limit if at least ``least`` different texts have it, at least ``spike`` times as

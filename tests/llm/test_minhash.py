@@ -1,9 +1,14 @@
+import os
 import random
 import re
+import time
+from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from hintloom.lineage import checkpoint_dir
 from hintloom.llm import grams, minhash
 
 
@@ -130,3 +135,38 @@ def test_prefix_keys_miss_no_pair(threshold):
             b = set(sets[j])
             if len(a & b) / len(a | b) >= threshold:
                 assert held[i] & held[j], (a, b)
+
+
+def test_shuffles_and_stored_texts_do_not_stay(spark):
+    """What a search has shuffled and stored is off the disk when its groups are known, whenever the driver collects its garbage."""
+    rnd = random.Random(13)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    texts = [t for _ in range(400) for t in variants(rnd, vocabulary, 40, 3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    dirs = [str(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffled = lambda: {os.path.join(d, f) for top in dirs for d, _, files in os.walk(top) for f in files if f.startswith("shuffle_") and f.endswith(".data")}
+    before = shuffled()
+    groups = minhash.near_duplicates(df, "id", "text", shingle=3, threshold=0.5)
+    for _ in range(50):  # files are dropped in the background
+        left = sum(os.path.getsize(f) for f in shuffled() - before if os.path.exists(f))
+        if left < 0.1 * sum(map(len, texts)):
+            break
+        time.sleep(0.2)
+    assert left < 0.1 * sum(map(len, texts))
+    assert not [x for x in os.listdir(checkpoint_dir(spark).removeprefix("file:")) if x.startswith("stored-")]
+    assert {r.id: r.cluster for r in groups.collect()} == brute(list(enumerate(texts)), 3, 0.5)
+
+
+def test_recurring_keys_are_those_of_several_texts(spark):
+    rnd = random.Random(17)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows = [(i - 2**40, i % 2, t) for i, t in enumerate(t for _ in range(20) for t in variants(rnd, vocabulary, 30, 4))]
+    keys = minhash._minima(pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])], ["salt", "text"]), 3, 10, 3)[0]
+    buckets = defaultdict(list)
+    for (rep, *_), own in zip(rows, keys.tolist()):
+        for key in own:
+            buckets[key].append(rep)
+    want = sorted((rep, len(x), min(x)) for x in buckets.values() if len(x) > 1 for rep in x)
+    got = minhash.recurring_keys(spark.createDataFrame(rows, "rep bigint, salt bigint, text string"), 3, 10, 3).collect()
+    assert sorted((r.rep, r.n, r.lo) for r in got) == want
+    assert len({r.key for r in got}) == sum(len(x) > 1 for x in buckets.values())
